@@ -1,6 +1,12 @@
 """Queries of this folder, and their SQL."""
 
+from .batch_dedup import p3_found
+from .bpe import p8_ids
+from .leaks import p9_found, p9_report
+from .lookalikes import p10_found
+from .main_text import p5_found
 from .near_dups import p7_found
+from .residue import p1_found
 
-QUERIES = {"p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
 SQL: dict = {}
