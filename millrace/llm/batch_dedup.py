@@ -20,60 +20,61 @@ from .near_dups import BIG
 from .residue import simhash_tables
 from .texts import readable
 
-FAR, BITS, COMPACT = 3, 63, 4
+FAR, BITS, COMPACT, RANGE = 3, 63, 4, 14
 _LOW = (1 << 63) - 1
 
 
 class NeighbourIndex:
-    """Persisted runs of earlier batches. Pages are (url_hash, chash, sim, tkey); chash, sim and tkey may be null."""
+    """Persisted runs of earlier batches. Pages are (url_hash, chash, sim, tkey); chash, sim and tkey may be null.
+
+    Beside the runs stands one table by key: `h` and a content hash, or `c` and a class, each with the least and greatest
+    url_hash that has it, which decide whether another page than the probing one has it.
+    """
 
     def __init__(self, scratch: Scratch):
         self.scratch = scratch
         self.runs: list[DataFrame] = []
-        self.classes: DataFrame | None = None
-        self.hashes: DataFrame | None = None
+        self.known: DataFrame | None = None
 
     @staticmethod
-    def _cid() -> Column:
+    def _class() -> Column:
         return F.xxhash64("sim", "tkey")
 
-    def probe_exact(self, new: DataFrame) -> DataFrame:
-        """url_hash of pages whose content hash an earlier page with another url_hash has."""
-        x = new.filter("chash is not null").join(self.hashes.withColumnRenamed("chash", "old"), F.col("chash") == F.col("old"))
-        return x.filter("lo != url_hash or hi != url_hash").select("url_hash")
-
-    def probe_near(self, new: DataFrame) -> DataFrame:
-        """(url_hash, tkey, other): earlier texts whose fingerprints lie within FAR bits, to be checked."""
+    def probe(self, new: DataFrame) -> DataFrame:
+        """(url_hash, tkey, other): earlier texts within FAR bits, to be checked; other is null for an equal content hash."""
+        held = self.known.withColumnsRenamed({"tkey": "other"})
+        another = F.col("lo") != F.col("url_hash")
+        another = another | (F.col("hi") != F.col("url_hash"))
+        exact = new.filter("chash is not null").join(held.filter("kind = 'h'"), F.col("chash") == F.col("id")).filter(another)
         fresh = new.filter("sim is not null and tkey is not null")
-        keyed = fresh.select("sim", "tkey").distinct().select("sim", F.col("tkey").alias("mine"), F.explode(simhash_tables("sim", BITS)).alias("key"))
+        keyed = fresh.select("sim", "tkey").distinct().select(self._class().alias("mine"), "sim", F.explode(simhash_tables("sim", BITS)).alias("key"))
         old = reduce(DataFrame.union, self.runs).select(F.col("key").alias("okey"), F.col("sim").alias("osim"), "cid")
         window = keyed.join(old, (F.col("key") == F.col("okey")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("osim"))) <= FAR))
-        met = window.select("sim", "mine", "cid").distinct().join(self.classes.select("cid", F.col("tkey").alias("other"), "lo", "hi"), "cid")
-        x = fresh.select("url_hash", F.col("sim").alias("fsim"), "tkey").join(met, (F.col("fsim") == F.col("sim")) & (F.col("tkey") == F.col("mine")))
-        return x.filter("lo != url_hash or hi != url_hash").select("url_hash", "tkey", "other")
+        met = window.select("mine", F.col("cid").cast("string").alias("id")).distinct().join(held.filter("kind = 'c'"), "id").select("mine", "other", "lo", "hi")
+        near = fresh.withColumn("cls", self._class()).join(met, F.col("cls") == F.col("mine")).filter(another)
+        return exact.select("url_hash", "tkey", F.lit(None).cast("string").alias("other")).union(near.select("url_hash", "tkey", "other"))
 
     def merge(self, batch: DataFrame) -> None:
-        """Add a batch: its classes, its content hashes and one sorted run."""
-        s, ends = self.scratch, (F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        both = [F.col("url_hash").alias("lo"), F.col("url_hash").alias("hi")]
-        known = batch.filter("sim is not null and tkey is not null").select(self._cid().alias("cid"), "sim", "tkey", *both)
-        hashed = batch.filter("chash is not null").select("chash", *both)
-        if self.classes is not None:
-            known, hashed = known.unionByName(self.classes), hashed.unionByName(self.hashes)
-        new = batch.filter("sim is not null and tkey is not null").select(self._cid().alias("cid"), "sim").distinct()
-        keyed = new.select(F.explode(simhash_tables("sim", BITS)).alias("key"), "sim", "cid")
-        prior = [x for x in (self.classes, self.hashes) if x is not None]
-        self.classes = s.put(known.groupBy("cid", "sim", "tkey").agg(*ends), "classes")
-        self.hashes = s.put(hashed.groupBy("chash").agg(*ends), "hashes")
-        self.runs.append(self._run(keyed))
+        """Add a batch: its hashes and classes, and one sorted run."""
+        s, ends = self.scratch, [F.col("url_hash").alias("lo"), F.col("url_hash").alias("hi")]
+        classed = batch.filter("sim is not null and tkey is not null").withColumn("cid", self._class())
+        known = classed.select(F.lit("c").alias("kind"), F.col("cid").cast("string").alias("id"), "tkey", *ends)
+        known = known.unionByName(batch.filter("chash is not null").select(F.lit("h").alias("kind"), F.col("chash").alias("id"), F.lit(None).cast("string").alias("tkey"), *ends))
+        if self.known is not None:
+            known = known.unionByName(self.known)
+        prior, self.known = self.known, s.put(known.groupBy("kind", "id").agg(F.first("tkey").alias("tkey"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "known")
+        new = classed.select("cid", "sim").distinct()
+        self.runs.append(self._run(new.select(F.explode(simhash_tables("sim", BITS)).alias("key"), "sim", "cid")))
         if len(self.runs) >= COMPACT:
             old, self.runs = self.runs, [self._run(reduce(DataFrame.union, self.runs).distinct())]
             s.drop(*old)
-        self.stale = prior
+        if prior is not None:
+            s.drop(prior)
 
     def _run(self, rows: DataFrame) -> DataFrame:
+        """Rows sorted by key; a file holds whole ranges of 2^RANGE keys."""
         parts = int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.scratch.put(rows.repartitionByRange(parts, "key").sortWithinPartitions("key"), "run")
+        return self.scratch.put(rows.repartition(parts, F.shiftright("key", RANGE)).sortWithinPartitions("key"), "run")
 
 
 def arrivals(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
@@ -88,18 +89,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Big pages that repeat, exactly or nearly, what an earlier batch brought."""
     scratch = Scratch(spark, "p3")
     pages = arrivals(spark, d, scratch)
-    index, exact, near = NeighbourIndex(scratch), [], []
+    index, probed = NeighbourIndex(scratch), []
     for (no,) in pages.select("batch_no").distinct().orderBy("batch_no").collect():  # batches, not rows
         batch = pages.filter(F.col("batch_no") == no).drop("batch_no")
-        if index.classes is not None:
-            exact.append(scratch.put(index.probe_exact(batch), "exact"))
-            near.append(scratch.put(index.probe_near(batch), "near"))
+        if index.known is not None:
+            probed.append(scratch.put(index.probe(batch), "probed"))
         index.merge(batch)
-        scratch.drop(*index.stale)
-    if not exact:
+    if not probed:
         return pages.select("url_hash").limit(0)
-    pairs = reduce(DataFrame.union, near)
+    met = reduce(DataFrame.union, probed)
+    pairs = met.filter("other is not null")
     texts = readable(table(spark, d, "extracted")).select(F.md5("text").alias("id"), "text")
     ok = alike.verify(pairs.select(F.col("tkey").alias("a"), F.col("other").alias("b")), texts, scratch)
     hit = pairs.join(ok, (F.col("tkey") == F.col("a")) & (F.col("other") == F.col("b")), "left_semi").select("url_hash")
-    return reduce(DataFrame.union, exact).union(hit).distinct()
+    return met.filter("other is null").select("url_hash").union(hit).distinct()

@@ -86,7 +86,7 @@ def _text_script(text: str) -> str:
     if not n["C"] and not n["G"]:
         return "L"
     own = _exclusive(text)
-    return max("LCG", key=lambda k: (own[k], n[k]))
+    return max("LCG", key=lambda k: own[k])  # without any letter of its own script a text counts as Latin
 
 
 def convert(token: str, to: str) -> str | None:
