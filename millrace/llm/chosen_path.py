@@ -24,8 +24,6 @@ from .texts import mix, runs_of, signature, tokens
 
 #: Levels walked at once, largest bucket compared outright, greatest depth, wanted recall at the threshold.
 FIRST, SMALL, DEEPEST, RECALL = 2, 128, 8, 0.9999
-#: Bits of 128 that two sketches must share: six standard deviations below the mean at the threshold.
-SKETCH = 80
 _SALTS = mix(np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -38,6 +36,12 @@ def repeats(recall: float = RECALL, levels: int = FIRST) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
+def sketch_bits(least: float) -> int:
+    """Bits of 128 that two sketches must share: six standard deviations below the mean at the threshold."""
+    p = (1 + least) / 2
+    return round(128 * p - 6 * math.sqrt(128 * p * (1 - p)))
+
+
 def children(nodes: np.ndarray, tokens_: np.ndarray, least: float = LEAST) -> np.ndarray:
     """Keys of all children of the nodes that the set chooses."""
     if not len(nodes) or not len(tokens_):
@@ -61,23 +65,37 @@ def sketch(tokens_: np.ndarray) -> tuple[int, int]:
     return int(v[0]), int(v[1])
 
 
+def roots() -> np.ndarray:
+    return mix(np.arange(1, repeats() + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+#: What `walk` gives of a set.
+WALKED = "sid long, n int, s1 long, s2 long, keys array<long>"
+_NAMES = ["sid", "n", "s1", "s2", "keys"]
+
+
+def walk(sets: list[np.ndarray], least: float) -> list:
+    """Arrow columns as WALKED: name, size, sketch and nodes at level FIRST of each set."""
+    import pyarrow as pa
+
+    cols: list[list] = [[], [], [], [], []]
+    for s in sets:
+        a, z = sketch(s)
+        keys = roots()
+        for _ in range(FIRST):
+            keys = children(keys, s, least)
+        for c, v in zip(cols, (signature(s), len(s), a, z, np.unique(keys).view("int64"))):
+            c.append(v)
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return [pa.array(c, k) for c, k in zip(cols, kinds)]
+
+
 def _walk(batches):
     import pyarrow as pa
 
-    roots = mix(np.arange(1, repeats() + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     for b in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for s in runs_of([tokens(t) for t in b.column("text").to_pylist()], RUN):
-            a, z = sketch(s)
-            keys = roots
-            for _ in range(FIRST):
-                keys = children(keys, s)
-            for c, v in zip(cols, (signature(s), len(s), a, z, np.unique(keys).view("int64"))):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("tkey"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))],
-            names=["id", "tkey", "sid", "n", "s1", "s2", "keys"],
-        )
+        sets = runs_of([tokens(t) for t in b.column("text").to_pylist()], RUN)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tkey"), *walk(sets, LEAST)], names=["id", "tkey", *_NAMES])
 
 
 def _token_sets(batches):
@@ -89,68 +107,84 @@ def _token_sets(batches):
         yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["sid", "runs"])
 
 
-def _extend(batches):
+def _extend(least: float):
     """Rows (set, nodes) to the children of the nodes."""
-    import pyarrow as pa
 
-    for b in batches:
-        sets, nodes = b.column("runs"), b.column("nodes")
-        keys = [np.unique(children(np.asarray(k.values).view(np.uint64), np.asarray(s.values).view(np.uint64))).view("int64") for s, k in zip(sets, nodes)]
-        yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("n"), b.column("s1"), b.column("s2"), pa.array(keys, pa.list_(pa.int64()))], names=["sid", "n", "s1", "s2", "keys"])
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sets, nodes = b.column("runs"), b.column("nodes")
+            keys = [np.unique(children(np.asarray(k.values).view(np.uint64), np.asarray(s.values).view(np.uint64), least)).view("int64") for s, k in zip(sets, nodes)]
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("n"), b.column("s1"), b.column("s2"), pa.array(keys, pa.list_(pa.int64()))], names=_NAMES)
 
+    return run
 
-def _near(a: str, b: str):
+
+def _near(a: str, b: str, least: float):
     """Sizes and sketches of two rows leave the threshold possible."""
     same = F.lit(128) - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) - F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    return (F.col(f"{a}.sid") < F.col(f"{b}.sid")) & (F.least(f"{a}.n", f"{b}.n") >= LEAST * F.greatest(f"{a}.n", f"{b}.n") - 1e-9) & (same >= SKETCH)
+    return (F.col(f"{a}.sid") < F.col(f"{b}.sid")) & (F.least(f"{a}.n", f"{b}.n") >= least * F.greatest(f"{a}.n", f"{b}.n") - 1e-9) & (same >= sketch_bits(least))
 
 
-def _compare(small: DataFrame) -> DataFrame:
+def _compare(small: DataFrame, least: float) -> DataFrame:
     """Pairs of every small bucket that sizes and sketches leave; a bucket has at most SMALL rows."""
     b = small.groupBy("key").agg(F.collect_list(F.struct("sid", "n", "s1", "s2")).alias("m"))
     x = b.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
-    return x.filter(_near("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    return x.filter(_near("x", "y", least)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
 
 
-def _blocks(large: DataFrame) -> DataFrame:
+def _blocks(large: DataFrame, least: float) -> DataFrame:
     """Pairs of the buckets no path splits: each row meets the blocks of its bucket, block pairs being spread over tasks."""
     w = Window.partitionBy("key")
     x = large.withColumn("blocks", F.ceil(F.count("*").over(w) / SMALL).cast("int")).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     left = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
     right = x.alias("y")
     j = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.blk")))
-    return j.filter(_near("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    return j.filter(_near("x", "y", least)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
 
 
-def candidates(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """records(id, tkey, text) to (members(id, tkey, sid, n), pairs(a, b) of sids to check exactly); tkey names the text."""
-    kind = records.schema["id"].dataType.simpleString()
-    walked = scratch.put(records.select("id", "tkey", "text").mapInArrow(_walk, f"id {kind}, tkey string, sid long, n int, s1 long, s2 long, keys array<long>"), "walked")
-    sets = walked.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
+def pairs_of(sets: DataFrame, read, scratch: Scratch, least: float) -> DataFrame:
+    """sets(WALKED), one row a set that is not empty, to the pairs (a, b) of sids to check exactly.
+
+    read: a table of sids to (sid, runs), one row each; asked once, for the sets in large buckets.
+    """
     rows = sets.select("sid", "n", "s1", "s2", F.explode("keys").alias("key"))
     found, level, sets_ = [], FIRST, None
     while True:
         sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
         # only buckets of two or more stay, a small share of all rows
         sized = scratch.put(sized, f"buckets{level}")
-        found.append(_compare(sized.filter(f"size <= {SMALL}")))
+        found.append(_compare(sized.filter(f"size <= {SMALL}"), least))
         large = sized.filter(f"size > {SMALL}").drop("size")
         if large.isEmpty():
             break
         if level >= DEEPEST:
-            found.append(_blocks(large))
+            found.append(_blocks(large, least))
             break
         open_ = large.groupBy("sid").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.collect_list("key").alias("nodes"))
-        if sets_ is None:  # the sets in large buckets, read once; deeper levels need a part of them
-            holder = walked.groupBy("sid").agg(F.min("tkey").alias("tkey"))
-            held = scratch.put(large.select("sid").distinct().join(holder, "sid"), "held")
-            held = F.broadcast(held) if held.count() <= SENT else held
-            texts = records.select("tkey", "text").join(held, "tkey").select("sid", "text")
-            sets_ = scratch.put(texts.mapInArrow(_token_sets, "sid long, runs array<long>").dropDuplicates(["sid"]), "sets")
-        rows = open_.join(sets_, "sid").select("sid", "n", "s1", "s2", "nodes", "runs").mapInArrow(_extend, "sid long, n int, s1 long, s2 long, keys array<long>")
+        if sets_ is None:  # deeper levels need a part of them
+            sets_ = scratch.put(read(large.select("sid").distinct()), "sets")
+        rows = open_.join(sets_, "sid").select("sid", "n", "s1", "s2", "nodes", "runs").mapInArrow(_extend(least), WALKED)
         rows = rows.select("sid", "n", "s1", "s2", F.explode("keys").alias("key"))
         level += 1
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)
-    return walked.select("id", "tkey", "sid", "n"), pairs.distinct()
+    return pairs.distinct()
+
+
+def candidates(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """records(id, tkey, text) to (members(id, tkey, sid, n), pairs(a, b) of sids to check exactly); tkey names the text."""
+    kind = records.schema["id"].dataType.simpleString()
+    walked = scratch.put(records.select("id", "tkey", "text").mapInArrow(_walk, f"id {kind}, tkey string, {WALKED}"), "walked")
+    sets = walked.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
+
+    def read(sids: DataFrame) -> DataFrame:
+        holder = walked.groupBy("sid").agg(F.min("tkey").alias("tkey"))
+        held = scratch.put(sids.join(holder, "sid"), "held")
+        held = F.broadcast(held) if held.count() <= SENT else held
+        texts = records.select("tkey", "text").join(held, "tkey").select("sid", "text")
+        return texts.mapInArrow(_token_sets, "sid long, runs array<long>").dropDuplicates(["sid"])
+
+    return walked.select("id", "tkey", "sid", "n"), pairs_of(sets, read, scratch, LEAST)

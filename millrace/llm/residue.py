@@ -1,10 +1,10 @@
 """Problem 1: records that hold only what a template, a failing server or a script-driven site left.
 
 Cores (main bodies) are labelled where the words are plain: a core of which at least TRUST of the text lies in sentences
-with unfilled placeholders, filler, error messages or script notices is a trusted residue. SimHash tables, partitioned
-by pairs of bit blocks, find cores that are near-duplicates of each other; Hamming distance and the Jaccard similarity
-of five-word runs verify them, and trusted labels spread over the connected components, so that variants whose own words
-are not plain are found too. Equal cores are one row throughout, so a page left a million times costs one row.
+with unfilled placeholders, filler, error messages or script notices is a trusted residue. Chosen paths (`chosen_path`)
+over their five-word runs find cores that may be near-duplicates of each other, with a recall that holds at the threshold
+itself; the Jaccard similarity decides, and trusted labels spread over the connected components, so that variants whose
+own words are not plain are found too. (At Jaccard 0.8, 64-bit SimHashes differ in about 9 bits, too many for tables.) Equal cores are one row throughout, so a page left a million times costs one row.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import Scratch, table
 from .alike import SENT
+from .chosen_path import WALKED, pairs_of, walk
 from .components import connected
 from .main_text import default_tree, furniture, records
-from .texts import jaccard, mix, runs_of, signature
+from .texts import jaccard, runs_of, signature
 
-#: Share of a core's characters that plain residue must have; words a run, least similarity, greatest distance, bit blocks.
-TRUST, RUN, LEAST, FAR, BLOCKS = 0.5, 5, 0.8, 3, 5
+#: Share of a core's characters that plain residue must have; words a run, least similarity.
+TRUST, RUN, LEAST = 0.5, 5, 0.8
+#: Of `simhash_tables`: greatest distance, bit blocks.
+FAR, BLOCKS = 3, 5
 PLACEHOLDER = re.compile(
     r"\{\{[^{}]{1,80}\}\}|\$\{[^{}]{1,80}\}|<%[=-]?[^%]{1,80}%>|\[\[[^\[\]]{1,80}\]\]|\[insert [^\[\]]{1,80}\]|%[A-Z][A-Z0-9_]+%|%\(\w+\)[sd]|(?<![\w%])%[sd](?!\w)"
     r"|@@\w+|__[A-Z][A-Z0-9_]+__|\{[A-Za-z_][\w.-]*\}|\[%[^%]{1,80}%\]|\{%[^%]{1,80}%\}|#\{[^{}]{1,80}\}|<\w+_\w+>|#[A-Za-z]+(?:_[A-Za-z0-9]+)+#"
@@ -157,18 +160,6 @@ def core_runs(cores: list[str]) -> list[np.ndarray]:
     return [r if len(w) >= RUN or not w else runs_of([w], len(w))[0] for r, w in zip(long_, words)]
 
 
-_BITS = np.arange(64, dtype=np.uint64)
-
-
-def simhash(r: np.ndarray) -> int:
-    """Signed 64-bit SimHash of a set of hashes."""
-    if not len(r):
-        return 0
-    ones = ((r[:, None] >> _BITS[None, :]) & np.uint64(1)).sum(axis=0)
-    bits = (ones * 2 > len(r)).astype(np.uint64)
-    return int(np.int64((bits << _BITS).sum(dtype=np.uint64)))
-
-
 def _fingerprints(tree):
     def run(batches):
         import pyarrow as pa
@@ -178,8 +169,8 @@ def _fingerprints(tree):
             marks = furniture(texts, b.column("url").to_pylist(), tree)
             cores = ["\n".join(x for x, m in zip(t.split("\n"), k) if not m).strip() for t, k in zip(texts, marks)]
             sets = core_runs(cores)
-            cols = [b.column("url_hash"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([simhash(s) for s in sets], pa.int64()), pa.array([trust(c) >= TRUST for c in cores])]
-            yield pa.RecordBatch.from_arrays(cols, names=["url_hash", "cid", "sim", "trusted"])
+            cols = [b.column("url_hash"), pa.array([trust(c) >= TRUST for c in cores], pa.bool_()), *walk(sets, LEAST)]
+            yield pa.RecordBatch.from_arrays(cols, names=["url_hash", "trusted", "sid", "n", "s1", "s2", "keys"])
 
     return run
 
@@ -192,7 +183,7 @@ def _sets(tree):
             texts = [t or "" for t in b.column("text").to_pylist()]
             marks = furniture(texts, b.column("url").to_pylist(), tree)
             sets = core_runs(["\n".join(x for x, m in zip(t.split("\n"), k) if not m).strip() for t, k in zip(texts, marks)])
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["cid", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["sid", "runs"])
 
     return run
 
@@ -219,18 +210,17 @@ def simhash_tables(sim: str = "sim", bits: int = 64, blocks: int = BLOCKS, far:
 
 
 def near_cores(cores: DataFrame, recs: DataFrame, tree, scratch: Scratch) -> DataFrame:
-    """Verified pairs (a, b) of core ids: cores(cid, sim, holder), holder being a record that has the core."""
-    rows = cores.select("cid", "sim", F.explode(simhash_tables()).alias("key"))
-    x, y = rows.alias("x"), rows.alias("y")
-    close = F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= FAR
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & close).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    pairs = scratch.put(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(cores.select("cid", "holder"), "cid")
-    wanted = scratch.put(wanted.select(F.col("holder").alias("want")).distinct(), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    texts = recs.join(side, recs["url_hash"] == side["want"], "left_semi")
-    sets = scratch.put(texts.select("url", "text").mapInArrow(_sets(tree), "cid long, runs array<long>").dropDuplicates(["cid"]), "sets")
-    z = pairs.join(sets.select(F.col("cid").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("cid").alias("b"), F.col("runs").alias("rb")), "b")
+    """Verified pairs (a, b) of core ids: cores(WALKED, holder), holder being a record that has the core."""
+
+    def read(sids: DataFrame) -> DataFrame:
+        wanted = scratch.put(sids.join(cores.select("sid", "holder"), "sid").select(F.col("holder").alias("want")).distinct(), "wanted")
+        side = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+        texts = recs.join(side, recs["url_hash"] == side["want"], "left_semi")
+        return texts.select("url", "text").mapInArrow(_sets(tree), "sid long, runs array<long>").dropDuplicates(["sid"])
+
+    pairs = scratch.put(pairs_of(cores, read, scratch, LEAST), "pairs")
+    sets = scratch.put(read(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()), "sets")
+    z = pairs.join(sets.select(F.col("sid").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("sid").alias("b"), F.col("runs").alias("rb")), "b")
     return z.select("a", "b", "ra", "rb").mapInArrow(_similar, "a long, b long")
 
 
@@ -240,14 +230,15 @@ def residue(recs: DataFrame, scratch: Scratch) -> DataFrame:
     A core without words is none. Null texts are empty; repeated rows count once; an empty table gives no rows.
     """
     tree = default_tree()
-    marked = scratch.put(recs.select("url_hash", "url", "text").mapInArrow(_fingerprints(tree), "url_hash string, cid long, sim long, trusted boolean"), "marked")
-    cores = scratch.put(marked.groupBy("cid").agg(F.min("sim").alias("sim"), F.max("trusted").alias("trusted"), F.min("url_hash").alias("holder")), "cores")
-    edges = scratch.put(near_cores(cores.filter("sim != 0"), recs, tree, scratch), "edges")
+    marked = scratch.put(recs.select("url_hash", "url", "text").mapInArrow(_fingerprints(tree), f"url_hash string, trusted boolean, {WALKED}"), "marked")
+    cores = marked.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")), F.max("trusted").alias("trusted"), F.min("url_hash").alias("holder"))
+    cores = scratch.put(cores, "cores")
+    edges = scratch.put(near_cores(cores.filter("n > 0"), recs, tree, scratch), "edges")
     comp = connected(edges, scratch)
-    labelled = cores.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "trusted", F.coalesce("component", "cid").alias("component"))
+    labelled = cores.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "trusted", F.coalesce("component", "sid").alias("component"))
     bad = labelled.filter("trusted").select("component").distinct()
-    ids = labelled.join(bad, "component", "left_semi").select("cid")
-    return marked.join(ids, "cid", "left_semi").select("url_hash").distinct()
+    ids = labelled.join(bad, "component", "left_semi").select("sid")
+    return marked.join(ids, "sid", "left_semi").select("url_hash").distinct()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

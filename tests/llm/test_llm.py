@@ -227,3 +227,22 @@ def test_lookalikes(spark):
         assert (form[2 * n] == form[2 * n + 1]) == (n < len(same)), (a, b)
     assert not {900, 901, 902} & set(form)
     assert lookalikes.forms(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_residue_spreads_at_the_threshold(spark):
+    """Cores of Jaccard 0.8 to 0.95 with a trusted one get its label, whatever their SimHashes; less alike ones do not."""
+    rnd = random.Random(11)
+    rows, want = [], set()
+    for g in range(60):
+        base = ["".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(rnd.randrange(90, 200))]
+        slots = " ".join(base) + "\n" + " ".join("{{a_b}}" for _ in range(3))
+        plain = " ".join(edited(rnd, base, 1 + g % 4)) + "\n" + " ".join("{{a_b}}" for _ in range(3))
+        rows += [(f"t{g}", "", slots), (f"v{g}", "", plain)]
+        x, y = residue.core_runs([slots, plain])
+        if texts.jaccard(x, y) >= residue.LEAST:
+            want.add((f"t{g}", f"v{g}"))
+    df = spark.createDataFrame(rows, "url_hash string, url string, text string")
+    marked = df.mapInArrow(residue._fingerprints(main_text.default_tree()), f"url_hash string, trusted boolean, {chosen_path.WALKED}").withColumn("holder", F.col("url_hash"))
+    name = {r["sid"]: r["url_hash"] for r in marked.collect()}
+    edges = residue.near_cores(marked, df, main_text.default_tree(), Scratch(spark, "t")).collect()
+    assert len(want) > 30 and {tuple(sorted((name[a], name[b]))) for a, b in edges} == want
