@@ -21,6 +21,7 @@ from .furniture import ACTION_SET, CHOICE_SET, COPYRIGHT, LABEL_SET, NOTICE_PIEC
 
 _SEP = re.compile(r"\s+[|·»/>›•–—-]\s+|\s*\|\s*|\s{2,}|(?<=[.!。])\s*(?=\S)")
 _BARS = re.compile(r"\s[|·»/>›]\s|\|| {2,}")
+_WIDE = re.compile(r"\s{3,}")
 _BAR, _CUT, _DIGIT = re.compile(r"[|·»/>›]|  "), re.compile(r"[.!。]\s*\S|\s[-–—•]\s"), re.compile(r"\d")
 _NUM = re.compile(r"\d+(?:[.,-]\d+)*")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
@@ -28,6 +29,7 @@ _HAN = re.compile("[㐀-鿿]")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦-]|\d+[.)])\s+\S")
 _END = re.compile(r"[.!?;:…。！？；：]['\")»”]?\s*$")
 NAMES = ("words", "link_density", "bars", "sentence", "notice", "action", "copyright", "side", "bullet", "site", "words_before", "links_before", "words_after", "links_after", "trail")
+_LINKS = LABEL_SET | ACTION_SET | CHOICE_SET
 #: Most entries of a side column below its title, and their most words.
 SIDE_ROWS, SIDE_WORDS = 4, 9
 
@@ -37,16 +39,10 @@ def _count(s: str) -> float:
     return len(_WORDS.findall(_HAN.sub(" ", s))) + han / 2 if han else len(_WORDS.findall(s))
 
 
-def _long(line: str) -> tuple:
-    """Features of a block too long for a label or notice: words are counted by blanks, Han text by its length."""
-    blanks = line.count(" ")
-    words = blanks + 1.0 if blanks * 20 > len(line) else len(line) / 2
-    return (words, 0.0, line.count(" | "), float(bool(_END.search(line[-6:]))), 0, 0.0, 0.0, 0.0, float(bool(_BULLET.match(line))))
-
-
-@lru_cache(maxsize=200_000)
-def _short(line: str) -> tuple:
-    """Features of a line that need no neighbours; pages of a site repeat them."""
+def _own(line: str) -> tuple:
+    """Features of a line of any length that need no neighbours."""
+    if _WIDE.search(line):  # so that no pattern goes over long blanks again and again
+        line = _WIDE.sub(lambda m: "  " if "  " in m.group() else m.group()[:2], line)
     low = " ".join(line.split()).casefold()
     plain = low.rstrip(" .!:。…")
     numbered = _NUM.sub("#", plain) if _DIGIT.search(plain) else plain
@@ -57,14 +53,14 @@ def _short(line: str) -> tuple:
     if not action and ":" in plain:  # an offer with its ways: share: mail, print
         head, _, tail = plain.partition(":")
         action = head in ACTION_SET and all(x.strip() in ACTION_SET for x in tail.split(","))
-    hits = sum(x in low for x in NOTICE_PIECES)
+    hits = sum([x in low for x in NOTICE_PIECES])
     linked, choices = float(bare), 0
     if not bare and (bars or hits or _CUT.search(line)):
         pieces = [p.strip(" .!:,;。|·»/>›•-") for p in _SEP.split(line.strip().casefold())]
         pieces = [p for p in pieces if p]
         total = part = 0.0
-        for p in pieces:
-            q = _NUM.sub("", p).replace("()", "").strip()
+        bare_ = [_NUM.sub("", p).replace("()", "").strip() for p in pieces] if _DIGIT.search(line) or "()" in line else pieces
+        for q in bare_ if not _LINKS.isdisjoint(bare_) else ():  # else no word is in a label
             if not q:
                 continue  # a number says nothing
             w = _count(q) or 0.5
@@ -80,6 +76,10 @@ def _short(line: str) -> tuple:
     return (words, linked, bars, float(bool(_END.search(line))), notice, float(action), float(bool(COPYRIGHT.match(line))), float(plain in SIDE_SET), float(bool(_BULLET.match(line))))
 
 
+#: Pages of a site repeat their lines; those that fill no memory are kept.
+_kept, KEPT_CHARS = lru_cache(maxsize=200_000)(_own), 110
+
+
 def _site(url: str) -> set[str]:
     host = re.sub(r"^\w+://", "", url or "").split("/")[0].split(":")[0].casefold()
     return {x for x in host.split(".")[:-1] if len(x) > 3} | ({host} if host else set())
@@ -89,14 +89,12 @@ def _rows(lines: list[str], url: str) -> list[tuple]:
     """Each line's own columns: NAMES without the neighbours'."""
     site, out, side = _site(url), [], 0
     for line in lines:
-        f = _short(line) if len(line) <= 110 and len(line.encode()) <= 160 else _long(line)
+        f = _kept(line) if len(line) <= KEPT_CHARS else _own(line)
         words, linked, bars, sentence, notice, action, legal, title, bullet = f
-        here = trail = 0.0
-        if len(line) <= 110:
-            folded = line.strip().casefold()
-            here = float(folded in site)
-            if bars >= 2 and any(p.strip() in site for p in _SEP.split(folded) if p):
-                trail = 1.0
+        folded, trail = line.strip().casefold(), 0.0
+        here = float(folded in site)
+        if bars >= 2 and any(p.strip() in site for p in _SEP.split(_WIDE.sub("  ", folded)) if p):
+            trail = 1.0
         if here:
             linked = 1.0
         if title:

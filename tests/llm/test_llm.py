@@ -246,3 +246,19 @@ def test_residue_spreads_at_the_threshold(spark):
     name = {r["sid"]: r["url_hash"] for r in marked.collect()}
     edges = residue.near_cores(marked, df, main_text.default_tree(), Scratch(spark, "t")).collect()
     assert len(want) > 30 and {tuple(sorted((name[a], name[b]))) for a, b in edges} == want
+
+
+def test_long_furniture_lines_are_found():
+    """The same words are furniture at any length; long article lines stay, blanks without end cost nothing."""
+    names = ["Home", "News", "Shop", "Contact", "Help", "Jobs", "Archive", "Imprint"]
+    cyr = ["Главная", "Новости", "Каталог", "Помощь", "Контакты", "Корзина", "О нас"]
+    off = [sep.join(x * 4) for x in (names, cyr) for sep in (" | ", " · ", " » ", " / ")]
+    off += ["© 2025 Millrace " + "Imprint Privacy Terms of use Sitemap " * 5, "Share this page: " + ", ".join(["mail", "print", "copy link", "save"] * 6)]
+    off += ["We use cookies and similar tools to remember settings, measure visits and show fitting offers to the many guests of our pages. Accept all | Reject | Manage choices"]
+    on = ["The miller opened the gate at dawn and the carts rolled in one after another until noon, and nobody on the long road minded the rain.", "Dawn " * 60 + "came."]
+    assert all(len(x) > 110 for x in off + on)
+    for lines, want in ((off, True), (on, False)):
+        for x in lines:
+            page = f"A mill by the river.\n{x}\nThe carts rolled in at dawn."
+            assert main_text.furniture([page], ["https://mill.test/"], main_text.default_tree())[0].tolist() == [False, want, False], x
+    assert main_text.features(["a" + " \t" * 200_000 + "b"], "").shape == (1, len(main_text.NAMES))
