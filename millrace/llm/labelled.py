@@ -266,18 +266,17 @@ SHUFFLES = 8
 def _groups(rows: list[str]) -> list[list[str]]:
     """Rows in pieces that may move: a side column stays below its title, other rows stand alone."""
     out: list[list[str]] = []
-    side = 0
+    side = False
     for r in rows:
         text = r[1:].casefold()
         if r[0] == "+" and text in SIDE_SET:
             out.append([r])
-            side = 4
+            side = True
         elif side and r[0] == "+" and not COPYRIGHT.match(r[1:]) and "|" not in r and text not in LABEL_SET | ACTION_SET:
             out[-1].append(r)
-            side -= 1
         else:
             out.append([r])
-            side = 0
+            side = False
     return out
 
 

@@ -28,10 +28,11 @@ _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _HAN = re.compile("[㐀-鿿]")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦-]|\d+[.)])\s+\S")
 _END = re.compile(r"[.!?;:…。！？；：]['\")»”]?\s*$")
+_STOP = re.compile(r"[.。]['\")»”]?\s*$")
 NAMES = ("words", "link_density", "bars", "sentence", "notice", "action", "copyright", "side", "bullet", "site", "words_before", "links_before", "words_after", "links_after", "trail")
 _LINKS = LABEL_SET | ACTION_SET | CHOICE_SET
-#: Most entries of a side column below its title, and their most words.
-SIDE_ROWS, SIDE_WORDS = 4, 9
+#: Words of a usual entry of a side column.
+SIDE_WORDS = 9
 
 
 def _count(s: str) -> float:
@@ -85,9 +86,40 @@ def _site(url: str) -> set[str]:
     return {x for x in host.split(".")[:-1] if len(x) > 3} | ({host} if host else set())
 
 
+def _sides(lines: list[str], own: list[tuple]) -> list[int]:
+    """1 for the title of a side column, 2 for its entries, however many, else 0.
+
+    A column ends at a blank line, footer, menu, notice or action, at another title, a list, or a body sentence. One entry
+    that is long or ends like a sentence does not end it where usual entries go on below it, or, without a full stop, the
+    footer follows; two such lines in a row are body.
+    """
+    out, inside = [0] * len(own), False
+    if not any(f[7] for f in own):
+        return out
+
+    def ends(i: int) -> bool:
+        words, linked, bars, sentence, notice, action, legal, title, bullet, here, trail = own[i]
+        return bool(bullet or bars or legal or action or here or linked >= 0.99 or notice >= 2 or not lines[i].strip())
+
+    def usual(i: int) -> bool:
+        return not own[i][3] and own[i][0] <= SIDE_WORDS
+
+    for i, f in enumerate(own):
+        if f[7]:
+            out[i], inside = 1, True
+        elif inside:
+            inside = not ends(i)
+            if inside and not usual(i):
+                stop = f[3] and _STOP.search(lines[i])
+                below = i + 1 < len(own) and (bool(own[i + 1][6]) and not stop or not own[i + 1][7] and not ends(i + 1) and usual(i + 1))
+                inside = below and not (stop and f[0] > SIDE_WORDS)
+            out[i] = 2 * inside
+    return out
+
+
 def _rows(lines: list[str], url: str) -> list[tuple]:
     """Each line's own columns: NAMES without the neighbours'."""
-    site, out, side = _site(url), [], 0
+    site, own = _site(url), []
     for line in lines:
         f = _kept(line) if len(line) <= KEPT_CHARS else _own(line)
         words, linked, bars, sentence, notice, action, legal, title, bullet = f
@@ -95,15 +127,9 @@ def _rows(lines: list[str], url: str) -> list[tuple]:
         here = float(folded in site)
         if bars >= 2 and any(p.strip() in site for p in _SEP.split(_WIDE.sub("  ", folded)) if p):
             trail = 1.0
-        if here:
-            linked = 1.0
-        if title:
-            side = 1
-        elif side:
-            plain = not (sentence or bullet or bars or legal or action or here) and words <= SIDE_WORDS and linked < 0.99 and notice < 2 and line.strip()
-            side = side + 1 if plain and side <= SIDE_ROWS else 0
-        out.append((words, linked, bars, sentence, notice, action, legal, side, bullet, here, trail))
-    return out
+        own.append((words, 1.0 if here else linked, bars, sentence, notice, action, legal, title, bullet, here, trail))
+    # an entry that ends like a sentence is a headline none the less
+    return [(*f[:3], 0.0 if side else f[3], *f[4:7], side, *f[8:]) for f, side in zip(own, _sides(lines, own))]
 
 
 def _table(pages: list[list[tuple]]) -> np.ndarray:

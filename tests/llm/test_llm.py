@@ -262,3 +262,13 @@ def test_long_furniture_lines_are_found():
             page = f"A mill by the river.\n{x}\nThe carts rolled in at dawn."
             assert main_text.furniture([page], ["https://mill.test/"], main_text.default_tree())[0].tolist() == [False, want, False], x
     assert main_text.features(["a" + " \t" * 200_000 + "b"], "").shape == (1, len(main_text.NAMES))
+
+
+def test_side_columns_of_any_length():
+    """Ten entries, one of them long and one a question, are off; body sentences, a blank line or a list end the column."""
+    entries = ["Eel market", "Old sluice", "Reed harvest", "Night ferry", "Who built the lock?", "Lantern evening", "Heron island", "What the ferry carries on the longest night of a winter that never ends", "Towpath walk", "Weir songs"]
+    body = ["The miller opened the gate at dawn and the carts rolled in.", "Nobody on the long road minded the rain."]
+    for tail in (["© 2025 Mill Imprint"], body, ["", "A heading", *body]):
+        lines = [*body, "Most read", *entries, *tail]
+        off = main_text.furniture(["\n".join(lines)], ["https://mill.test/"], main_text.default_tree())[0].tolist()
+        assert off == [False] * 2 + [True] * 11 + [x.startswith("©") for x in tail], tail
