@@ -4,7 +4,9 @@ A set x walks a random tree: at a node it goes on to the child of each of its to
 1 / (least * |x|). Two sets of Braun-Blanquet similarity `least` or more (which Jaccard implies) expect at least one
 common child at every node they share, so they meet again with a fixed probability a run, while unlike sets part. Every
 set starts with two levels at once; buckets that are still large split further, small ones are compared outright. Runs
-repeat until the chance that a pair at the threshold is missed in all of them is below 1 - recall.
+repeat until the chance that a pair at the threshold is missed in all of them is below 1 - recall. A pair survives a deep
+level less often, so sets that stood in a bucket that was split walk further runs among themselves, as many as the
+deepest level that was walked asks for: half of 1 - recall is for pairs never in such a bucket, half for the others.
 
 Copies (equal sets) are one row throughout. A row carries its set's size and a 128-bit one-bit minwise sketch, so most
 unlike pairs of a bucket fall before the exact check. Buckets that no path splits (more near-copies than SMALL) are
@@ -36,6 +38,11 @@ def repeats(recall: float = RECALL, levels: int = FIRST) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
+def runs_to(level: int) -> int:
+    """Runs for pairs whose buckets are split down to `level`."""
+    return repeats(1 - (1 - RECALL) / 2, level)
+
+
 def sketch_bits(least: float) -> int:
     """Bits of 128 that two sketches must share: six standard deviations below the mean at the threshold."""
     p = (1 + least) / 2
@@ -65,8 +72,17 @@ def sketch(tokens_: np.ndarray) -> tuple[int, int]:
     return int(v[0]), int(v[1])
 
 
-def roots() -> np.ndarray:
-    return mix(np.arange(1, repeats() + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def roots(first: int = 0, last: int | None = None) -> np.ndarray:
+    """Roots of the runs after `first` up to `last`, by default those that all sets walk."""
+    return mix(np.arange(first + 1, (runs_to(FIRST) if last is None else last) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def start(set_: np.ndarray, least: float, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Nodes of a set at level FIRST in these runs."""
+    keys = roots(first, last)
+    for _ in range(FIRST):
+        keys = children(keys, set_, least)
+    return np.unique(keys).view("int64")
 
 
 #: What `walk` gives of a set.
@@ -81,10 +97,7 @@ def walk(sets: list[np.ndarray], least: float) -> list:
     cols: list[list] = [[], [], [], [], []]
     for s in sets:
         a, z = sketch(s)
-        keys = roots()
-        for _ in range(FIRST):
-            keys = children(keys, s, least)
-        for c, v in zip(cols, (signature(s), len(s), a, z, np.unique(keys).view("int64"))):
+        for c, v in zip(cols, (signature(s), len(s), a, z, start(s, least))):
             c.append(v)
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     return [pa.array(c, k) for c, k in zip(cols, kinds)]
@@ -121,6 +134,19 @@ def _extend(least: float):
     return run
 
 
+def _again(least: float, first: int, last: int):
+    """Sets to their nodes in further runs."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keys = [start(np.asarray(s.values).view(np.uint64), least, first, last) for s in b.column("runs")]
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("n"), b.column("s1"), b.column("s2"), pa.array(keys, pa.list_(pa.int64()))], names=_NAMES)
+
+    return run
+
+
 def _near(a: str, b: str, least: float):
     """Sizes and sketches of two rows leave the threshold possible."""
     same = F.lit(128) - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) - F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
@@ -150,24 +176,30 @@ def pairs_of(sets: DataFrame, read, scratch: Scratch, least: float) -> DataFrame
     read: a table of sids to (sid, runs), one row each; asked once, for the sets in large buckets.
     """
     rows = sets.select("sid", "n", "s1", "s2", F.explode("keys").alias("key"))
-    found, level, sets_ = [], FIRST, None
+    found, level, sets_, split = [], FIRST, None, None
+    deepest, done = FIRST, runs_to(FIRST)
     while True:
         sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
         # only buckets of two or more stay, a small share of all rows
         sized = scratch.put(sized, f"buckets{level}")
         found.append(_compare(sized.filter(f"size <= {SMALL}"), least))
         large = sized.filter(f"size > {SMALL}").drop("size")
-        if large.isEmpty():
-            break
-        if level >= DEEPEST:
-            found.append(_blocks(large, least))
-            break
-        open_ = large.groupBy("sid").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.collect_list("key").alias("nodes"))
-        if sets_ is None:  # deeper levels need a part of them
-            sets_ = scratch.put(read(large.select("sid").distinct()), "sets")
-        rows = open_.join(sets_, "sid").select("sid", "n", "s1", "s2", "nodes", "runs").mapInArrow(_extend(least), WALKED)
+        deepest, none = max(deepest, level), large.isEmpty()
+        if none or level >= DEEPEST:
+            if not none:
+                found.append(_blocks(large, least))
+            if split is None or runs_to(deepest) <= done:
+                break
+            rows = split.mapInArrow(_again(least, done, runs_to(deepest)), WALKED)
+            level, done = FIRST, runs_to(deepest)
+        else:
+            open_ = large.groupBy("sid").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.collect_list("key").alias("nodes"))
+            if sets_ is None:  # deeper levels and further runs need a part of them
+                sets_ = scratch.put(read(large.select("sid").distinct()), "sets")
+                split = scratch.put(open_.drop("nodes").join(sets_, "sid"), "split")
+            rows = open_.join(sets_, "sid").select("sid", "n", "s1", "s2", "nodes", "runs").mapInArrow(_extend(least), WALKED)
+            level += 1
         rows = rows.select("sid", "n", "s1", "s2", F.explode("keys").alias("key"))
-        level += 1
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)

@@ -272,3 +272,24 @@ def test_side_columns_of_any_length():
         lines = [*body, "Most read", *entries, *tail]
         off = main_text.furniture(["\n".join(lines)], ["https://mill.test/"], main_text.default_tree())[0].tolist()
         assert off == [False] * 2 + [True] * 11 + [x.startswith("©") for x in tail], tail
+
+
+def test_chosen_path_recall_holds_in_split_buckets(spark, monkeypatch):
+    """Borderline pairs whose buckets are split to the deepest level are found as well as the others."""
+    import math
+
+    monkeypatch.setattr(chosen_path, "SMALL", 1)  # every bucket is split, and none is compared before the deepest level
+    alive = 1.0
+    for level in range(1, chosen_path.DEEPEST + 1):
+        alive = 1 - math.exp(-alive)
+        assert (1 - alive) ** chosen_path.runs_to(level) <= (1 - chosen_path.RECALL) / 2
+    rnd = random.Random(12)
+    docs = {}
+    for g in range(150):  # six apart changes of 98 runs: 80 / 116 shared
+        base = ["".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(100)]
+        docs[f"a{g:03}"] = " ".join(base)
+        docs[f"b{g:03}"] = " ".join("x" * (g + 1) + str(i) if i % 16 == 5 else w for i, w in enumerate(base))
+    assert len(wanted(docs)) == 150 and 0.65 <= ratio(docs["a000"], docs["b000"]) < 0.7
+    df = spark.createDataFrame(list(docs.items()), "id string, text string")
+    members, links = near_dups.similar_sets(df, Scratch(spark, "t"))
+    assert links.count() == 150
