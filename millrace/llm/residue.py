@@ -10,6 +10,7 @@ own words are not plain are found too. (At Jaccard 0.8, 64-bit SimHashes differ
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -92,10 +93,16 @@ def _pattern(words: list[str]) -> re.Pattern:
 
 
 _WORDS = _phrases(FILLER, ERRORS, SCRIPTS)
-_PLAIN, _BESIDE = _pattern(_WORDS), _pattern(_phrases(BESIDE))
-#: A longer core without any of these has no plain residue: most cores are done here.
-_LONGER = [w for w in _WORDS if len(w) >= 9 or re.match(f"[{_HAN}]", w)]
-_TELL = (*[w for w in _LONGER if not any(v != w and v in w for v in _LONGER)], "lorem", "ipsum", "dolor", "consectetur", "cupidatat")
+_BESIDES = _phrases(BESIDE)
+_LETTER_RUN = re.compile(r"[^\W\d_]+")
+_BESIDE_LETTERS = {w: sum(map(len, _LETTER_RUN.findall(w))) for w in _BESIDES}
+
+
+@lru_cache(maxsize=4096)
+def _any_of(words: tuple[str, ...]) -> re.Pattern:
+    return _pattern(list(words))
+
+
 _HINT = re.compile(r"[{%\[@_<#]")
 _SENTENCE = re.compile(r"\n|(?<=[.!?;。！？；…])(?=\s|[一-鿿])")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -103,8 +110,8 @@ _IDS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 _TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+|\{\}|#")
 
 
-def _share(sentence: str) -> tuple[float, float]:
-    """Letters in the sentence, and how many of them plain residue covers."""
+def _share(sentence: str, plain: re.Pattern | None, beside: re.Pattern | None) -> tuple[float, float]:
+    """Letters in the sentence, and how many of them plain residue covers. The patterns hold the phrases of the core."""
     if _HINT.search(sentence) and PLACEHOLDER.search(sentence):
         n = max(1.0, len(_LETTERS.findall(sentence)))
         return n, n
@@ -117,35 +124,39 @@ def _share(sentence: str) -> tuple[float, float]:
         hit = sum(w.strip(".,;:!?") in LOREM for w in words)
         if hit >= 0.7 * len(words):
             return total, total
-    if total > 400:
-        return total, 0.0
-    rest, n = _PLAIN.subn(" ", low)
+    rest, n = plain.subn(" ", low) if plain else (low, 0)
     if not n:
         return total, 0.0
-    rest = _BESIDE.sub(" ", rest)
+    if beside:
+        rest = beside.sub(" ", rest)
     left = len(_LETTERS.findall(rest))
     return (total, total) if left <= 0.3 * total else (total, 0.0)
 
 
 def trust(core: str) -> float:
     """Share of a core that is plain residue; sentences that only go with one count where one is there."""
-    low = core.casefold()
-    if not any(w in low for w in _TELL) and not (_HINT.search(core) and PLACEHOLDER.search(core)) and len(core) > 160:
-        return 0.0
-    total = good = beside = 0.0
+    low = _IDS.sub(" ", core.casefold())
+    # each test is met by every core of which the full count below can accept a sentence, at any length
+    plain, beside = tuple([w for w in _WORDS if w in low]), tuple([w for w in _BESIDES if w in low])
+    letters = _LETTER_RUN.findall(low)
+    if not plain and not (_HINT.search(core) and PLACEHOLDER.search(core)) and sum([w in LOREM for w in letters]) < 3:
+        if sum(low.count(w) * _BESIDE_LETTERS[w] for w in beside) < 0.7 * sum(map(len, letters)):
+            return 0.0
+    of_plain, of_beside = _any_of(plain) if plain else None, _any_of(beside) if beside else None
+    total = good = around = 0.0
     for s in _SENTENCE.split(core):
         if not s.strip():
             continue
-        a, b = _share(s)
+        a, b = _share(s, of_plain, of_beside)
         total += a
         good += b
-        if not b and 0 < a < 120:
-            left = len(_LETTERS.findall(_BESIDE.sub(" ", _IDS.sub(" ", s.casefold()))))
+        if not b and a and of_beside:
+            left = len(_LETTERS.findall(of_beside.sub(" ", _IDS.sub(" ", s.casefold()))))
             if left <= 0.25 * a:
-                beside += a
+                around += a
     if not total:
         return 0.0
-    return (good + beside) / total if good or beside >= 0.95 * total else 0.0
+    return (good + around) / total if good or around >= 0.95 * total else 0.0
 
 
 def shape(core: str) -> list[str]:

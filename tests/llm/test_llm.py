@@ -293,3 +293,12 @@ def test_chosen_path_recall_holds_in_split_buckets(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "id string, text string")
     members, links = near_dups.similar_sets(df, Scratch(spark, "t"))
     assert links.count() == 150
+
+
+def test_trust_at_any_length():
+    """The same residue is trusted above 160 characters and 400 letters as below."""
+    for piece in ("test\n", "gone\n", "xxxxx\n", "sorry. try again later. ", "page not found ", "sed do eiusmod tempor incididunt ut ", "Oops sorry error please try again later "):
+        for n in (4, 120):
+            assert residue.trust(piece * n) >= residue.TRUST, (piece, n)
+    story = "The miller opened the gate at dawn and the carts rolled in one after another, and the code of the latest status was gone. "
+    assert residue.trust(story) == residue.trust(story * 30) == 0.0
