@@ -2,7 +2,11 @@
 
 Each partition contracts its own parent chains to *exits* (the first ancestor outside the partition). The exits form a
 much smaller quotient forest whose edges carry lengths and node counts; it is solved by the same procedure until it fits
-one bounded task, and the answers expand the fragments. Circles show either inside a fragment or in the quotient.
+one bounded task, and the answers expand the fragments. Circles show either inside a fragment or in the quotient. Where
+full paths are asked for, a row also carries its label, the nodes of its chain down from where the fragment was entered;
+a node's path is its exit's path and then its own label, so paths come out of the same expansion.
+
+Every level places its rows so that a task holds about `base_rows` of them, however large the table is.
 
 The first level ranges over a locality column (arrival time), so leaves and local chains vanish at once. Later levels
 place a node by a coin: heads stay by their own key, tails move to their parent's place, so about a quarter of all links
@@ -30,6 +34,8 @@ _ROW = ["id", "parent", "len", "w", "bad", "r0", "d0"]
 _FRAG = "frag long, id string, parent string, len long, w long, bad int, r0 string, d0 long, exit string, qlen long, qr0 string, qd0 long"
 _OUT = "id string, root string, depth long, total long, bad int"
 _NOTHING: dict = {"id": [], "root": [], "depth": [], "total": [], "bad": []}
+#: With paths: a row's own label, and that of its whole chain in the fragment.
+_LAB, _QLAB, _PATH = ", lab array<string>", ", qlab array<string>", ", path array<string>"
 
 
 def _chains(ids: list, parents: list, lens: list, bads: list):
@@ -66,7 +72,7 @@ def _chains(ids: list, parents: list, lens: list, bads: list):
 
 
 def _contract(batches):
-    """One partition to its fragments; memory is one partition, whose size the caller bounds."""
+    """One partition to its fragments; memory is one partition, which `_solve` bounds by rows."""
     from pyspark import TaskContext
 
     frag = TaskContext.get().partitionId()
@@ -86,7 +92,27 @@ def _contract(batches):
         qr0.append(None if lost else r0[r])
         qd0.append(-1 if lost else dist[i] + d0[r])
     d["frag"], d["exit"], d["qlen"], d["qr0"], d["qd0"], d["bad"] = frag, exits, qlen, qr0, qd0, state
-    yield d[["frag", *_ROW, "exit", "qlen", "qr0", "qd0"]]
+    if "lab" not in d:
+        yield d[["frag", *_ROW, "exit", "qlen", "qr0", "qd0"]]
+        return
+    d["qlab"] = _labels(up, root, state, d["lab"].tolist())
+    yield d[["frag", *_ROW, "lab", "exit", "qlen", "qr0", "qd0", "qlab"]]
+
+
+def _labels(up: list, root: list, state: list, labs: list) -> list:
+    """Per row the labels of its chain from the local root down to it; empty where there is no root."""
+    out: list = [None] * len(up)
+    for s in range(len(up)):
+        path, i = [], s
+        while out[i] is None and not state[i] and root[i] >= 0:
+            path.append(i)
+            if up[i] < 0:
+                break
+            i = up[i]
+        for x in reversed(path):
+            above = out[up[x]] if up[x] >= 0 else []
+            out[x] = [*(above or []), *labs[x]]
+    return [x or [] for x in out]
 
 
 def _expand(nodes: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +155,17 @@ def _expand(nodes: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         else:
             roots.append(info[e][0])
             depth.append(dist[i] + lens[root[i]] + info[e][1])
-    return pd.DataFrame({"id": ids, "root": roots, "depth": depth, "total": total, "bad": bad})
+    out = pd.DataFrame({"id": ids, "root": roots, "depth": depth, "total": total, "bad": bad})
+    if "lab" in nodes:
+        above = dict(zip(told["id"], told["path"])) if len(told) else {}
+        chains = _labels(up, root, [0 if r is not None else 1 for r in roots], nodes["lab"].tolist())
+        paths = []
+        for i, c in enumerate(chains):
+            e = parents[root[i]] if roots[i] is not None else None
+            head = above.get(e) if e is not None else None
+            paths.append(None if roots[i] is None else [*(head if head is not None else []), *c])
+        out["path"] = paths
+    return out
 
 
 def _leaves_first(up: list, root: list) -> list:
@@ -153,32 +189,34 @@ def _leaves_first(up: list, root: list) -> list:
 
 
 def _solve(df: DataFrame, rows: int, level: int, scratch: Scratch, base_rows: int) -> DataFrame:
-    """df(id, parent, len, w, bad[, at]) with unique ids to `_OUT`; parents may be missing."""
+    """df(id, parent, len, w, bad, r0, d0[, lab][, at]) with unique ids to `_OUT`; parents may be missing."""
+    labelled = "lab" in df.columns
+    row, kind, out = (_ROW + ["lab"], _FRAG.replace(", exit", _LAB + ", exit") + _QLAB, _OUT + _PATH) if labelled else (_ROW, _FRAG, _OUT)
     if level and rows <= base_rows:
-        one = df.select(*_ROW).coalesce(1)
-        return one.mapInPandas(_in_one_task, _OUT)
+        return df.select(*row).coalesce(1).mapInPandas(_in_one_task, out)
+    parts = max(2, math.ceil(rows / base_rows))
     if level:
-        parts = max(2, math.ceil(rows / base_rows))
         hot = df.groupBy("parent").count().filter(F.col("count") > base_rows).select(F.col("parent").alias("hot"))
         df = df.join(hot, df["parent"] == hot["hot"], "left")
         heads = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == 0
         home = F.when(heads | F.col("parent").isNull() | F.col("hot").isNotNull(), F.col("id")).otherwise(F.col("parent"))
         placed = df.withColumn("home", home).repartition(parts, "home")
     else:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         placed = df.repartitionByRange(parts, "at", "id")
-    frags = scratch.put(placed.select(*_ROW).mapInPandas(_contract, _FRAG), f"frags{level}")
+    frags = scratch.put(placed.select(*row).mapInPandas(_contract, kind), f"frags{level}")
     # an exit that is no node drops out here; all nodes that leave by an exit hang below it
     leaving = frags.filter("exit is not null").groupBy(F.col("exit").alias("id")).agg(F.sum("w").alias("cw"))
-    quotient = frags.join(leaving, "id").select("id", F.col("exit").alias("parent"), F.col("qlen").alias("len"), F.col("cw").alias("w"), "bad", F.col("qr0").alias("r0"), F.col("qd0").alias("d0"), "frag")
-    quotient = scratch.put(quotient, f"quotient{level}")
+    named = ["id", F.col("exit").alias("parent"), F.col("qlen").alias("len"), F.col("cw").alias("w"), "bad", F.col("qr0").alias("r0"), F.col("qd0").alias("d0"), "frag"]
+    quotient = scratch.put(frags.join(leaving, "id").select(*named, *([F.col("qlab").alias("lab")] * labelled)), f"quotient{level}")
     left = quotient.count()
     solved = _solve(quotient, left, level + 1, scratch, base_rows)
     if left > base_rows:
         solved = scratch.put(solved, f"solved{level}")
     asked = frags.filter("exit is not null").select("frag", F.col("exit").alias("id")).union(quotient.select("frag", "id")).distinct()
     told = asked.join(solved, "id").withColumnRenamed("frag", "told_frag")
-    return frags.groupBy("frag").cogroup(told.groupBy("told_frag")).applyInPandas(_expand, _OUT)
+    # one group a fragment, so a task holds whole fragments, each of about base_rows
+    return frags.repartition(parts, "frag").groupBy("frag").cogroup(told.repartition(parts, "told_frag").groupBy("told_frag")).applyInPandas(_expand, out)
 
 
 def _in_one_task(batches):
@@ -188,47 +226,37 @@ def _in_one_task(batches):
         yield _expand(d, pd.DataFrame(_NOTHING))
 
 
-def resolve(links: DataFrame, node: str, parent: str, at: str | None = None, base_rows: int = BASE_ROWS) -> DataFrame:
+def resolve(links: DataFrame, node: str, parent: str, at: str | None = None, base_rows: int = BASE_ROWS, paths: bool = False) -> DataFrame:
     """Per node: root, depth, n_below and on_cycle (0/1); see the module for the method and the defined cases.
 
     links: any columns besides `node` and `parent` are ignored, whatever their names. at: a column in whose order
     children follow their parents closely, used for locality only. Nodes that reach no root have root '', depth -1 and
-    n_below -1. Shuffles: one for uniqueness, one by range, one to expand; the quotient's are smaller.
+    n_below -1. paths: add `path`, an array from the root to the node itself, null where no root is reached; it is as
+    long as the depth, so ask for it only where trees are shallow enough to be written down. Shuffles: one for
+    uniqueness, one by range, one to expand; the quotient's are smaller.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "hierarchy")
+    scratch = Scratch(links.sparkSession, "hierarchy")
     nodes = (
         links.filter(F.col(node).isNotNull())
         .groupBy(F.col(node).alias("id"))
         .agg(F.min(F.col(parent)).alias("parent"), F.min(F.col(at or node)).alias("at"))
-        .withColumns({"len": F.lit(1).cast("long"), "w": F.lit(1).cast("long"), "bad": F.lit(0), "r0": F.col("id"), "d0": F.lit(0).cast("long")})
     )
-    out = _solve(nodes, 0, 0, scratch, base_rows)
+    # written down, so that the rows are counted and ranged without going through the links again
+    nodes = scratch.put(nodes, "nodes")
+    start = {"len": F.lit(1).cast("long"), "w": F.lit(1).cast("long"), "bad": F.lit(0), "r0": F.col("id"), "d0": F.lit(0).cast("long")}
+    out = _solve(nodes.withColumns(start | ({"lab": F.array("id")} if paths else {})), nodes.count(), 0, scratch, base_rows)
     return out.select(
         F.col("id").alias("node"),
         F.when(F.col("bad") == 0, F.col("root")).otherwise("").alias("root"),
         F.when(F.col("bad") == 0, F.col("depth")).otherwise(-1).cast("int").alias("depth"),
         F.when(F.col("bad") == 0, F.col("total") - 1).otherwise(-1).cast("long").alias("n_below"),
         F.when(F.col("bad") == 2, 1).otherwise(0).alias("on_cycle"),
+        *([F.when(F.col("bad") == 0, F.col("path")).alias("path")] * paths),
     )
 
 
-def with_paths(links: DataFrame, node: str, parent: str, resolved: DataFrame, rounds: int = 40) -> DataFrame:
-    """Add `path` (array, root first, the node last; null where no root is reached) to the rows of `resolve`.
-
-    Paths are put together by doubling: after round k a row holds its nearest 2^k ancestors, so rows shuffle once per
-    doubling of the greatest depth. A path is as long as the depth: ask for paths only where trees are shallow enough to
-    be written down.
-    """
-    scratch = Scratch(links.sparkSession, "paths")
-    live = resolved.filter("depth >= 0")
-    up = links.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(F.col(parent)).alias("up"))
-    cur = live.select("node", "depth").join(up, "node").select("node", "depth", F.when(F.col("depth") > 0, F.col("up")).alias("up"), F.array("node").alias("path"))
-    cur = scratch.put(cur, "step")
-    deepest, k = cur.agg(F.max("depth")).first()[0] or 0, 1
-    while k <= deepest and rounds:
-        far = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("above"))
-        nxt = scratch.put(cur.join(far, "up", "left").select("node", "depth", F.col("up2").alias("up"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path")), "step")
-        scratch.drop(cur)
-        cur, k, rounds = nxt, 2 * k, rounds - 1
-    return resolved.join(cur.select("node", "path"), "node", "left")
+def descendants(resolved: DataFrame) -> DataFrame:
+    """(ancestor, node, steps) for every node below another, from `resolve` with paths: one narrow pass, no join."""
+    up = F.slice("path", 1, F.size("path") - 1)
+    x = resolved.filter("depth > 0").select("node", "depth", F.posexplode(up).alias("place", "ancestor"))
+    return x.select("ancestor", "node", (F.col("depth") - F.col("place")).alias("steps"))

@@ -1,15 +1,19 @@
 """References to records that do not exist, kept as incremental keyed state.
 
-The state is (a) the parent index: kind, key, earliest time, present, deleted; (b) the open references: those whose
-target is missing, deleted or came later than they did. An increment brings new references, parents and deletions:
+The state is three tables of append-only runs (`runs`), each opened again by its folder:
 
-* parents and deletions are merged into the index (one aggregate by key),
-* open references whose key the increment touches are judged again; a parent that arrives resolves them,
-* new references probe the index and stay open unless their target was there in time,
-* a deletion of a present parent reopens what was resolved, found in the log of past references.
+* the parent index: per kind and key the earliest and the latest arrival and the latest deletion,
+* the open references: those whose target is missing, deleted or came later than they did, as changes; the last counts,
+* the log of all references, kept only where deletions can reopen what was resolved.
 
-References never gather in one group by key: they only join an index that is unique by key, so a hot key costs one
-probe a row (AQE splits the join). Snapshots of the open counts are taken at every increment.
+An increment brings new references, parents and deletions. Parents and deletions are added to the index as one run. New
+references probe the index for their own keys. Open references whose key the increment touches are judged again, so a
+parent that arrives resolves them; a deletion judges the logged references of its key again and reopens them. Only what
+changed is added to the open table: no state is rewritten but by the levelled merging of runs. Times decide, not the
+order of increments, so increments may overlap or come late.
+
+References never gather in one group by key: they only join index rows that are unique by key, so a hot key costs one
+probe a row (AQE splits the join).
 """
 
 from __future__ import annotations
@@ -19,76 +23,90 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import Scratch
+from .runs import Runs
+
+INDEX = "kind string, key string, first_at double, last_at double, gone_at double"
+REF = ["src", "period", "row_key", "kind", "key", "own_at"]
+REFS = "src string, period string, row_key string, kind string, key string, own_at double"
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "key").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("gone_at").alias("gone_at"))
+
 
-INDEX = "kind string, key string, first_at double, present boolean, deleted boolean"
+def _last_change(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*REF).agg(F.max_by("why", "step").alias("why"), F.max("step").alias("step"))
 
 
 class OrphanLedger:
-    """refs: src, period, row_key, kind, key, own_at. parents: kind, key, at. deletions: kind, key.
+    """refs: REF. parents: kind, key, at. deletions: kind, key, at. folder: of the state, by default one for this object.
 
     Rows with a null key are no references and left out. A reference without a time is never late. Repeated rows count
-    once in `report`. keep_present: a deletion never hides a parent that the parents' table still has (it was created
-    again); without it, a deletion removes the parent until it arrives anew.
+    once in `report`. A deletion or arrival without a time counts as the earliest. keep_present: a deletion never hides
+    a parent that the parents' table has; without it, a deletion hides a parent unless it arrived anew at that time or
+    later. A key that waits twice, or rows of an empty increment, are fine.
     """
 
-    def __init__(self, spark, keep_present: bool = True):
+    def __init__(self, spark, keep_present: bool = True, folder: str | None = None):
         self.spark, self.keep = spark, keep_present
         self.scratch = Scratch(spark, "orphans")
-        self.index: DataFrame | None = None
-        self.open: DataFrame | None = None
-        self.log: list[DataFrame] = []
+        folder = folder or self.scratch.path("state")
+        self.index = Runs(spark, f"{folder}/index", INDEX, ["kind", "key"], _by_key)
+        self.open = Runs(spark, f"{folder}/open", f"{REFS}, why string, step int", ["kind", "key"], _last_change)
+        self.log = Runs(spark, f"{folder}/log", REFS, ["kind", "key"], DataFrame.distinct)
+        self.steps = max((r["step"] for r in self.open.raw().agg(F.max("step").alias("step")).collect() if r["step"]), default=0)
         self.snapshots: list[DataFrame] = []
 
     def _judge(self, refs: DataFrame) -> DataFrame:
         """refs with their present state in `why`; null: resolved."""
-        x = refs.join(self.index.withColumnsRenamed({"kind": "ikind", "key": "ikey"}), (F.col("kind") == F.col("ikind")) & (F.col("key") == F.col("ikey")), "left")
-        why = (
-            F.when(F.coalesce("present", F.lit(False)), F.when(F.col("first_at") > F.col("own_at"), "late"))
-            .when(F.coalesce("deleted", F.lit(False)), "deleted")
-            .otherwise("missing")
-        )
-        return x.select(*refs.columns, why.alias("why"))
+        keys = self.scratch.put(refs.select("kind", "key").distinct(), "asked")
+        known = _by_key(self.index.asked(keys)).withColumnsRenamed({"kind": "ikind", "key": "ikey"})
+        x = refs.join(known, (F.col("kind") == F.col("ikind")) & (F.col("key") == F.col("ikey")), "left")
+        there = F.col("last_at").isNotNull()
+        if not self.keep:
+            there = there & (F.col("gone_at").isNull() | (F.col("gone_at") <= F.col("last_at")))
+        why = F.when(there, F.when(F.col("first_at") > F.col("own_at"), "late")).when(F.col("gone_at").isNotNull(), "deleted").otherwise("missing")
+        return x.select(*refs.columns, why.alias("now"))
 
     def advance(self, refs: DataFrame, parents: DataFrame, deletions: DataFrame) -> None:
         """Take in one increment."""
-        s = self.scratch
-        came = parents.filter("key is not null").groupBy("kind", "key").agg(F.min("at").alias("first_at")).select("kind", "key", "first_at", F.lit(True).alias("present"), F.lit(False).alias("deleted"))
-        gone = deletions.filter("key is not null").select("kind", "key", F.lit(None).cast("double").alias("first_at"), F.lit(False).alias("present"), F.lit(True).alias("deleted")).distinct()
-        touched = came.select("kind", "key").union(gone.select("kind", "key")).distinct()
-        if not self.keep and self.index is not None:
-            hidden = gone.join(came, ["kind", "key"], "left_anti").select("kind", "key", F.lit(True).alias("hide"))
-            old = self.index.join(hidden, ["kind", "key"], "left").withColumn("present", F.col("present") & F.col("hide").isNull()).drop("hide")
-        else:
-            old = self.index
-        parts = [x for x in (old, came, gone) if x is not None]
-        merged = reduce(DataFrame.unionByName, parts).groupBy("kind", "key").agg(F.min("first_at").alias("first_at"), F.max("present").alias("present"), F.max("deleted").alias("deleted"))
-        prior, self.index = self.index, s.put(merged, "index")
-        fresh = refs.filter("key is not null").distinct()
-        judged = [self._judge(fresh)]
-        waiting = self.open
-        if waiting is not None:
-            again = waiting.drop("why").join(touched, ["kind", "key"], "left_semi")
-            judged += [waiting.join(touched, ["kind", "key"], "left_anti"), self._judge(again.select(*fresh.columns))]
-            if not self.keep:
-                back = reduce(DataFrame.unionByName, self.log).join(gone.select("kind", "key"), ["kind", "key"], "left_semi")
-                judged.append(self._judge(back.select(*fresh.columns)))
+        s, never = self.scratch, F.lit(float("-inf"))
+        t, none = F.coalesce("at", never), F.lit(None).cast("double")
+        came = parents.filter("key is not null").select("kind", "key", F.col("at").alias("first_at"), t.alias("last_at"), none.alias("gone_at"))
+        gone = deletions.filter("key is not null").select("kind", "key", none.alias("first_at"), none.alias("last_at"), t.alias("gone_at"))
+        delta = self.index.append(_by_key(came.unionByName(gone)))
+        touched = delta.select("kind", "key")
+        self.steps += 1
+        fresh = refs.filter("key is not null").select(*REF).distinct()
         if not self.keep:
-            self.log.append(s.put(fresh, "log"))
-        opened = reduce(DataFrame.unionByName, judged).filter("why is not null").distinct()
-        self.open = s.put(opened, "open")
-        self.snapshots.append(self.open.groupBy("src", "period", "why").agg(F.count("*").alias("n")).withColumn("step", F.lit(len(self.snapshots) + 1)))
-        s.drop(*[x for x in (prior, waiting) if x is not None and not self.snapshots_need(x)])
-
-    def snapshots_need(self, t: DataFrame) -> bool:
-        """Open tables stay while their snapshot has not been read."""
-        return t is not self.index and "why" in t.columns
+            fresh = self.log.append(fresh)
+        changed = [self._judge(fresh).filter("now is not null").select(*REF, "now")]
+        if self.open.runs:
+            waiting = _last_change(self.open.asked(s.put(touched, "touched"))).filter("why is not null")
+            again = self._judge(waiting.select(*REF, "why"))
+            changed.append(again.filter("not (now <=> why)").select(*REF, "now"))
+        if not self.keep:
+            hit = s.put(delta.filter("gone_at is not null").select("kind", "key"), "hit")
+            changed.append(self._judge(self.log.asked(hit).distinct()).filter("now is not null").select(*REF, "now"))
+        rows = reduce(DataFrame.unionByName, changed).distinct().withColumnsRenamed({"now": "why"}).withColumn("step", F.lit(self.steps))
+        self.open.append(rows)
+        for t in (self.index, self.open, self.log):
+            t.compact()
 
     def report(self) -> DataFrame:
         """Every open reference: src, period, row_key, key, why."""
-        return self.open.select("src", "period", "row_key", "key", "why").distinct()
+        return self.open.read().filter("why is not null").select("src", "period", "row_key", "key", "why").distinct()
+
+    def counts(self) -> DataFrame:
+        """Open references now, by src, period and why."""
+        return self.open.read().filter("why is not null").groupBy("src", "period", "why").agg(F.count("*").alias("n"))
+
+    def snapshot(self) -> None:
+        """Write the present counts down."""
+        self.snapshots.append(self.scratch.put(self.counts().withColumn("step", F.lit(self.steps)), "snapshot"))
 
     def history(self) -> DataFrame:
-        """Open counts by src, period and why after each step."""
+        """The counts of all snapshots, with their step."""
         return reduce(DataFrame.unionByName, self.snapshots)
 
 
@@ -102,7 +120,8 @@ def time_slices(lo: float | None, hi: float | None, n: int) -> list[tuple[float
 
 
 def in_slice(t: Column, part: tuple[float | None, float | None]) -> Column:
-    """Rows of a slice; rows without a time are in the first."""
+    """Rows of a slice, as comparisons that reach the scan; rows without a time are in the first."""
     lo, hi = part
-    ok = F.lit(True) if lo is None and hi is None else (t < hi if lo is None else (t >= lo if hi is None else (t >= lo) & (t < hi)))
-    return F.coalesce(ok, F.lit(lo is None))
+    if lo is None:
+        return F.lit(True) if hi is None else t.isNull() | (t < hi)
+    return t >= lo if hi is None else (t >= lo) & (t < hi)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -57,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = getattr(spark, "_millrace_dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark._millrace_dir = root
         spark.sparkContext.setCheckpointDir(root)
@@ -64,10 +67,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _open_folders(spark: SparkSession) -> list[str]:
+    """Folders of this session's cut points; they go when the program ends, at the latest."""
+    held = getattr(spark, "_millrace_folders", None)
+    if held is None:
+        held = spark._millrace_folders = []
+        atexit.register(sweep, spark)
+    return held
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all cut points of the session. Results that were not read or written yet are lost with them."""
+    held = getattr(spark, "_millrace_folders", [])
+    try:
+        while held:
+            remove(spark, held.pop())
+    except Exception:  # noqa: BLE001
+        held.clear()  # the session has ended
+
+
 class Scratch:
     """Cut points: tables written to the shared folder, so lost executors never lose them.
 
-    Each operator call owns one folder; `drop` removes a table that is no longer needed.
+    Each operator call owns one folder; `drop` removes a table that is no longer needed, `sweep` all folders of a session.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -75,6 +102,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _open_folders(spark).append(self.root)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -92,5 +120,4 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(t._millrace_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove(self.spark, t._millrace_path)
