@@ -27,10 +27,14 @@ SENT_BYTES = 16 << 20
 
 
 class Runs:
-    """A table with `schema` (DDL) and key columns `key` in folder `path`; merge: rows of equal keys to one."""
+    """A table with `schema` (DDL) and key columns `key` in folder `path`; merge: rows of equal keys to one.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], merge: Callable[[DataFrame], DataFrame], unit: int = UNIT, fan: int = FAN):
+    ranges: number of slots to the slot of a row, where key ranges are wanted instead of hashes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], merge: Callable[[DataFrame], DataFrame], unit: int = UNIT, fan: int = FAN, ranges: Callable[[int], Column] | None = None):
         self.spark, self.path, self.schema, self.key, self.merge, self.unit, self.fan = spark, path, schema, key, merge, unit, fan
+        self.ranges = ranges
         self.version, self.slots, self.runs = -1, 0, []
         self._load()
 
@@ -64,6 +68,8 @@ class Runs:
         remove(self.spark, f"{self.path}/manifest-{self.version - 2}.json")
 
     def slot(self) -> Column:
+        if self.ranges is not None:
+            return self.ranges(self.slots).cast("int")
         return F.pmod(F.xxhash64(*self.key), F.lit(self.slots)).cast("int")
 
     def _level(self, rows: int) -> int:
@@ -120,13 +126,14 @@ class Runs:
         """The merged table."""
         return self.merge(self.raw())
 
-    def asked(self, keys: DataFrame, width: int = 64) -> DataFrame:
-        """Stored rows, not merged, of these keys (distinct, key columns only, written down so that counting is cheap).
+    def asked(self, keys: DataFrame, how: str = "left_semi", width: int = 64) -> DataFrame:
+        """Stored rows, not merged, of the keys of a table that is written down, so that counting it is cheap.
 
-        Only the slots of the keys are read; few keys are sent to the scan, which then shuffles nothing.
+        how: `left_semi`, or `inner` to get the columns of both. Only the slots of the keys are read; keys of at most
+        SENT_BYTES (`width` bytes each) are sent to the scan, which then shuffles nothing; more are joined.
         """
         if not self.runs:
-            return self.raw()
+            return self.raw().join(keys, self.key, how)
         n = keys.count()
         rows = self._open([r["name"] for r in self.runs])
         if n < 4 * self.slots:
@@ -134,4 +141,4 @@ class Runs:
             if len(some) < self.slots:
                 rows = rows.filter(F.col("slot").isin(some))
         side = F.broadcast(keys) if n * width <= SENT_BYTES else keys
-        return rows.drop("run", "slot").join(side, self.key, "left_semi")
+        return rows.drop("run", "slot").join(side, self.key, how)
