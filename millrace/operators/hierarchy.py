@@ -71,15 +71,31 @@ def _chains(ids: list, parents: list, lens: list, bads: list):
     return up, root, dist, state
 
 
-def _contract(batches):
-    """One partition to its fragments; memory is one partition, which `_solve` bounds by rows."""
-    from pyspark import TaskContext
+def _names(df: DataFrame, parts: int) -> list[int]:
+    """A number for each of `parts` partitions that Spark's own hash sends to just that partition."""
+    named: dict[int, int] = {}
+    lo, step = 0, max(64, 4 * parts)
+    while len(named) < parts:
+        for x, p in df.sparkSession.range(lo, lo + step).select("id", F.pmod(F.hash("id"), F.lit(parts))).collect():
+            named.setdefault(p, x)
+        lo += step
+    return [named[p] for p in range(parts)]
 
-    frag = TaskContext.get().partitionId()
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    d = pd.concat(parts, ignore_index=True)
+
+def _contract(names: list[int]):
+    """One partition to its fragments, which bear the partition's name."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        parts = [b for b in batches if len(b)]
+        if parts:  # memory is one partition, which `_solve` bounds by rows
+            yield _fragment(pd.concat(parts, ignore_index=True), names[TaskContext.get().partitionId()])
+
+    return run
+
+
+def _fragment(d: pd.DataFrame, frag: int) -> pd.DataFrame:
     ids, parents = d["id"].tolist(), [p if isinstance(p, str) else None for p in d["parent"]]
     lens = d["len"].tolist()
     up, root, dist, state = _chains(ids, parents, lens, d["bad"].tolist())
@@ -93,10 +109,9 @@ def _contract(batches):
         qd0.append(-1 if lost else dist[i] + d0[r])
     d["frag"], d["exit"], d["qlen"], d["qr0"], d["qd0"], d["bad"] = frag, exits, qlen, qr0, qd0, state
     if "lab" not in d:
-        yield d[["frag", *_ROW, "exit", "qlen", "qr0", "qd0"]]
-        return
+        return d[["frag", *_ROW, "exit", "qlen", "qr0", "qd0"]]
     d["qlab"] = _labels(up, root, state, d["lab"].tolist())
-    yield d[["frag", *_ROW, "lab", "exit", "qlen", "qr0", "qd0", "qlab"]]
+    return d[["frag", *_ROW, "lab", "exit", "qlen", "qr0", "qd0", "qlab"]]
 
 
 def _labels(up: list, root: list, state: list, labs: list) -> list:
@@ -204,7 +219,7 @@ def _solve(df: DataFrame, rows: int, level: int, scratch: Scratch, base_rows: in
     else:
         parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         placed = df.repartitionByRange(parts, "at", "id")
-    frags = scratch.put(placed.select(*row).mapInPandas(_contract, kind), f"frags{level}")
+    frags = scratch.put(placed.select(*row).mapInPandas(_contract(_names(df, parts)), kind), f"frags{level}")
     # an exit that is no node drops out here; all nodes that leave by an exit hang below it
     leaving = frags.filter("exit is not null").groupBy(F.col("exit").alias("id")).agg(F.sum("w").alias("cw"))
     named = ["id", F.col("exit").alias("parent"), F.col("qlen").alias("len"), F.col("cw").alias("w"), "bad", F.col("qr0").alias("r0"), F.col("qd0").alias("d0"), "frag"]
@@ -215,7 +230,7 @@ def _solve(df: DataFrame, rows: int, level: int, scratch: Scratch, base_rows: in
         solved = scratch.put(solved, f"solved{level}")
     asked = frags.filter("exit is not null").select("frag", F.col("exit").alias("id")).union(quotient.select("frag", "id")).distinct()
     told = asked.join(solved, "id").withColumnRenamed("frag", "told_frag")
-    # one group a fragment, so a task holds whole fragments, each of about base_rows
+    # a fragment's name sends it to a partition of its own, so a task holds about base_rows
     return frags.repartition(parts, "frag").groupBy("frag").cogroup(told.repartition(parts, "told_frag").groupBy("told_frag")).applyInPandas(_expand, out)
 
 
