@@ -78,8 +78,7 @@ class OrphanLedger:
         touched = delta.select("kind", "key")
         self.steps += 1
         fresh = refs.filter("key is not null").select(*REF).distinct()
-        if not self.keep:
-            fresh = self.log.append(fresh)
+        fresh = s.put(fresh, "fresh") if self.keep else self.log.append(fresh)
         changed = [self._judge(fresh).filter("now is not null").select(*REF, "now")]
         if self.open.runs:
             waiting = _last_change(self.open.asked(s.put(touched, "touched"))).filter("why is not null")
