@@ -1,11 +1,16 @@
 """Problem 3: each new batch against all history, by multi-key sorted neighbourhoods.
 
-History is kept as sorted runs. A page's fingerprint yields one key a table: the bits of two of its five blocks; of two
-fingerprints within three bits at least two blocks are equal, so they are neighbours under some key. A batch is probed
-before it is merged: its keys meet the equal keys of the runs, which is its window in that order, however long; only
-windows around new records are compared. Then the batch is sorted by key and added as a run; every COMPACT runs are
-merged into one. Runs hold (key, fingerprint, class), a class being one fingerprint and text, so a page copied a million
-times is one row a table. History's texts are never read again, but for those in a window.
+A page's fingerprint yields one key a table: the bits of two of its five blocks; of two fingerprints within three bits at
+least two blocks are equal, so they are neighbours under some key. History is a folder of sorted runs in key ranges
+(`Runs`), one run a batch, merged level by level, so a row is rewritten O(log n) times. A batch is probed before it is
+added: its keys go to the key ranges they fall into (few enough are sent to the scan, which then shuffles nothing) and
+meet the equal keys there, which are its window in that order, however long; only windows around new records are
+compared. Runs hold (key, fingerprint, class), a class being one fingerprint and text, so a page copied a million times
+is one row a table; classes are compared with classes, pages come in at the end.
+
+Beside the keys stands one table by id: `h` and a content hash, or `c` and a class, each with the least and greatest
+url_hash that has it, which tell whether another page than the probing one has it. Both tables only grow by the batch.
+Texts are read by the exact check alone: those of classes in a window, found by a url_hash that has them.
 """
 
 from __future__ import annotations
@@ -14,92 +19,107 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.runs import Runs
 from ..runtime import Scratch, table
 from . import alike
 from .near_dups import BIG
 from .residue import simhash_tables
 from .texts import readable
 
-FAR, BITS, COMPACT, RANGE = 3, 63, 4, 14
+FAR, BITS = 3, 63
 _LOW = (1 << 63) - 1
 
 
-class NeighbourIndex:
-    """Persisted runs of earlier batches. Pages are (url_hash, chash, sim, tkey); chash, sim and tkey may be null.
+def _ranges(slots: int) -> Column:
+    """Equal ranges of the keys, which have less than 30 bits."""
+    return F.shiftright(F.col("key") * slots, 30)
+
 
-    Beside the runs stands one table by key: `h` and a content hash, or `c` and a class, each with the least and greatest
-    url_hash that has it, which decide whether another page than the probing one has it.
-    """
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "id").agg(F.first("tkey").alias("tkey"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
-        self.runs: list[DataFrame] = []
-        self.known: DataFrame | None = None
+
+class NeighbourIndex:
+    """All earlier batches, in `folder`; another session opens it by that. Pages are (url_hash, chash, sim, tkey); chash,
+    sim and tkey may be null. Rows without url_hash are left out; repeated rows count once; empty batches are fine."""
+
+    def __init__(self, scratch: Scratch, folder: str | None = None):
+        self.scratch, spark = scratch, scratch.spark
+        folder = folder or scratch.path("index")
+        self.keys = Runs(spark, f"{folder}/keys", "key long, sim long, cid long", ["key"], DataFrame.distinct, ranges=_ranges)
+        self.known = Runs(spark, f"{folder}/known", "kind string, id string, tkey string, lo string, hi string", ["kind", "id"], _known)
 
     @staticmethod
     def _class() -> Column:
         return F.xxhash64("sim", "tkey")
 
-    def probe(self, new: DataFrame) -> DataFrame:
-        """(url_hash, tkey, other): earlier texts within FAR bits, to be checked; other is null for an equal content hash."""
-        held = self.known.withColumnsRenamed({"tkey": "other"})
-        another = F.col("lo") != F.col("url_hash")
-        another = another | (F.col("hi") != F.col("url_hash"))
-        exact = new.filter("chash is not null").join(held.filter("kind = 'h'"), F.col("chash") == F.col("id")).filter(another)
-        fresh = new.filter("sim is not null and tkey is not null")
-        keyed = fresh.select("sim", "tkey").distinct().select(self._class().alias("mine"), "sim", F.explode(simhash_tables("sim", BITS)).alias("key"))
-        old = reduce(DataFrame.union, self.runs).select(F.col("key").alias("okey"), F.col("sim").alias("osim"), "cid")
-        window = keyed.join(old, (F.col("key") == F.col("okey")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("osim"))) <= FAR))
-        met = window.select("mine", F.col("cid").cast("string").alias("id")).distinct().join(held.filter("kind = 'c'"), "id").select("mine", "other", "lo", "hi")
-        near = fresh.withColumn("cls", self._class()).join(met, F.col("cls") == F.col("mine")).filter(another)
-        return exact.select("url_hash", "tkey", F.lit(None).cast("string").alias("other")).union(near.select("url_hash", "tkey", "other"))
-
-    def merge(self, batch: DataFrame) -> None:
-        """Add a batch: its hashes and classes, and one sorted run."""
-        s, ends = self.scratch, [F.col("url_hash").alias("lo"), F.col("url_hash").alias("hi")]
-        classed = batch.filter("sim is not null and tkey is not null").withColumn("cid", self._class())
-        known = classed.select(F.lit("c").alias("kind"), F.col("cid").cast("string").alias("id"), "tkey", *ends)
-        known = known.unionByName(batch.filter("chash is not null").select(F.lit("h").alias("kind"), F.col("chash").alias("id"), F.lit(None).cast("string").alias("tkey"), *ends))
-        if self.known is not None:
-            known = known.unionByName(self.known)
-        prior, self.known = self.known, s.put(known.groupBy("kind", "id").agg(F.first("tkey").alias("tkey"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "known")
-        new = classed.select("cid", "sim").distinct()
-        self.runs.append(self._run(new.select(F.explode(simhash_tables("sim", BITS)).alias("key"), "sim", "cid")))
-        if len(self.runs) >= COMPACT:
-            old, self.runs = self.runs, [self._run(reduce(DataFrame.union, self.runs).distinct())]
-            s.drop(*old)
-        if prior is not None:
-            s.drop(prior)
-
-    def _run(self, rows: DataFrame) -> DataFrame:
-        """Rows sorted by key; a file holds whole ranges of 2^RANGE keys."""
-        parts = int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.scratch.put(rows.repartition(parts, F.shiftright("key", RANGE)).sortWithinPartitions("key"), "run")
+    def _classed(self, batch: DataFrame) -> DataFrame:
+        return batch.filter("url_hash is not null and sim is not null and tkey is not null").withColumn("cid", self._class())
+
+    def probe(self, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of a batch: exact(url_hash) with an equal content hash earlier, and near(url_hash, cid, tkey, holder, other,
+        lo), pages with an earlier class within FAR bits, to be checked; `holder` and `lo` are pages that have the texts.
+        """
+        s, another = self.scratch, (F.col("lo") != F.col("url_hash")) | (F.col("hi") != F.col("url_hash"))
+        hashed = new.filter("url_hash is not null and chash is not null").select("url_hash", F.lit("h").alias("kind"), F.col("chash").alias("id"))
+        same = _known(self.known.asked(s.put(hashed.select("kind", "id").distinct(), "hashes")))
+        exact = hashed.join(same, ["kind", "id"]).filter(another).select("url_hash").distinct()
+        pages = self._classed(new)
+        classes = pages.groupBy("cid").agg(F.first("sim").alias("msim"), F.first("tkey").alias("tkey"), F.min("url_hash").alias("holder"))
+        keyed = s.put(classes.select(F.col("cid").alias("mine"), "msim", F.explode(simhash_tables("msim", BITS)).alias("key")), "keyed")
+        window = self.keys.asked(keyed, "inner", 48).filter(F.bit_count(F.col("msim").bitwiseXOR(F.col("sim"))) <= FAR)
+        pairs = s.put(window.select("mine", "cid").distinct(), "pairs")
+        held = _known(self.known.asked(s.put(pairs.select(F.lit("c").alias("kind"), F.col("cid").cast("string").alias("id")).distinct(), "ids")))
+        met = pairs.select("mine", F.col("cid").cast("string").alias("id")).join(held.select("id", F.col("tkey").alias("other"), "lo", "hi"), "id")
+        near = met.join(classes.select(F.col("cid").alias("mine"), "tkey", "holder"), "mine").drop("id")
+        near = pages.select("url_hash", F.col("cid").alias("mine")).distinct().join(near, "mine").filter(another)
+        return s.put(exact, "exact"), s.put(near.select("url_hash", "tkey", "holder", "other", "lo"), "near")
+
+    def add(self, batch: DataFrame) -> None:
+        """Add a batch: one run of keys, one of hashes and classes."""
+        ends = [F.min("url_hash").alias("lo"), F.max("url_hash").alias("hi")]
+        classed = self._classed(batch)
+        hashes = batch.filter("url_hash is not null and chash is not null").groupBy(F.lit("h").alias("kind"), F.col("chash").alias("id")).agg(F.lit(None).cast("string").alias("tkey"), *ends)
+        self.known.append(classed.groupBy(F.lit("c").alias("kind"), F.col("cid").cast("string").alias("id")).agg(F.first("tkey").alias("tkey"), *ends).unionByName(hashes))
+        self.keys.append(classed.select("cid", "sim").distinct().select(F.explode(simhash_tables("sim", BITS)).alias("key"), "sim", "cid"))
+        self.known.compact()
+        self.keys.compact()
 
 
 def arrivals(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
-    """Big pages with batch, folded content hash, low 63 bits of simhash and the key of their readable text."""
+    """Big pages with batch, folded content hash, low 63 bits of simhash and the key of their readable text, one folder a
+    batch."""
     pages = table(spark, d, "pages").filter(f"size >= {BIG} and url_hash is not null and batch_no is not null")
     pages = pages.select("url_hash", "batch_no", F.lower(F.trim("content_hash")).alias("chash"), F.col("simhash").bitwiseAND(F.lit(_LOW)).alias("sim")).distinct()
     texts = readable(table(spark, d, "extracted")).select(F.col("url_hash").alias("u"), F.md5("text").alias("tkey")).distinct()
-    return scratch.put(pages.join(texts, F.col("url_hash") == F.col("u"), "left").drop("u"), "arrivals")
+    path = scratch.path("arrivals")
+    pages.join(texts, F.col("url_hash") == F.col("u"), "left").drop("u").repartition("batch_no", F.pmod(F.xxhash64("url_hash"), F.lit(8))).write.partitionBy("batch_no").parquet(path)
+    return spark.read.schema("url_hash string, chash string, sim long, tkey string, batch_no int").parquet(path)
+
+
+def repeats(exact: list[DataFrame], near: list[DataFrame], texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """url_hash of the pages of `probe` that are repeats, the near ones checked by texts(url_hash, text)."""
+    near_ = reduce(DataFrame.union, near)
+    holders = scratch.put(near_.select(F.col("holder").alias("u")).union(near_.select("lo")).distinct(), "holders")
+    side = F.broadcast(holders) if holders.count() <= alike.SENT else holders
+    read = texts.join(side, F.col("url_hash") == F.col("u"), "left_semi").select(F.md5("text").alias("id"), "text")
+    ok = alike.verify(near_.select(F.col("tkey").alias("a"), F.col("other").alias("b")).distinct(), read, scratch)
+    hit = near_.join(ok, (F.col("tkey") == F.col("a")) & (F.col("other") == F.col("b")), "left_semi").select("url_hash")
+    return reduce(DataFrame.union, exact).union(hit).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Big pages that repeat, exactly or nearly, what an earlier batch brought."""
     scratch = Scratch(spark, "p3")
     pages = arrivals(spark, d, scratch)
-    index, probed = NeighbourIndex(scratch), []
-    for (no,) in pages.select("batch_no").distinct().orderBy("batch_no").collect():  # batches, not rows
+    index, exact, near = NeighbourIndex(scratch), [], []
+    for n, (no,) in enumerate(pages.select("batch_no").distinct().orderBy("batch_no").collect()):  # batches, not rows
         batch = pages.filter(F.col("batch_no") == no).drop("batch_no")
-        if index.known is not None:
-            probed.append(scratch.put(index.probe(batch), "probed"))
-        index.merge(batch)
-    if not probed:
+        if n:
+            e, c = index.probe(batch)
+            exact.append(e)
+            near.append(c)
+        index.add(batch)
+    if not exact:
         return pages.select("url_hash").limit(0)
-    met = reduce(DataFrame.union, probed)
-    pairs = met.filter("other is not null")
-    texts = readable(table(spark, d, "extracted")).select(F.md5("text").alias("id"), "text")
-    ok = alike.verify(pairs.select(F.col("tkey").alias("a"), F.col("other").alias("b")), texts, scratch)
-    hit = pairs.join(ok, (F.col("tkey") == F.col("a")) & (F.col("other") == F.col("b")), "left_semi").select("url_hash")
-    return met.filter("other is null").select("url_hash").union(hit).distinct()
+    return repeats(exact, near, readable(table(spark, d, "extracted")), scratch)

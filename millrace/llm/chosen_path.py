@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch
 from .alike import LEAST, RUN, SENT
@@ -162,8 +162,7 @@ def _compare(small: DataFrame, least: float) -> DataFrame:
 
 def _blocks(large: DataFrame, least: float) -> DataFrame:
     """Pairs of the buckets no path splits: each row meets the blocks of its bucket, block pairs being spread over tasks."""
-    w = Window.partitionBy("key")
-    x = large.withColumn("blocks", F.ceil(F.count("*").over(w) / SMALL).cast("int")).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    x = large.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).drop("size").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     left = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
     right = x.alias("y")
     j = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.blk")))
@@ -179,11 +178,12 @@ def pairs_of(sets: DataFrame, read, scratch: Scratch, least: float) -> DataFrame
     found, level, sets_, split = [], FIRST, None, None
     deepest, done = FIRST, runs_to(FIRST)
     while True:
-        sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
-        # only buckets of two or more stay, a small share of all rows
-        sized = scratch.put(sized, f"buckets{level}")
+        # buckets are counted by partial sums and met by a join, which splits a hot one; only buckets of two or more
+        # stay, a small share of all rows
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        sized = scratch.put(rows.join(sizes, "key"), f"buckets{level}")
         found.append(_compare(sized.filter(f"size <= {SMALL}"), least))
-        large = sized.filter(f"size > {SMALL}").drop("size")
+        large = sized.filter(f"size > {SMALL}")
         deepest, none = max(deepest, level), large.isEmpty()
         if none or level >= DEEPEST:
             if not none:

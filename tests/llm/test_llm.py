@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("millrace.llm.queries")
 
 from millrace.llm import alike, batch_dedup, bpe, chosen_path, components, labelled, leaks, lookalikes, main_text, near_dups, residue, texts  # noqa: E402
+from millrace.operators import runs  # noqa: E402
 from millrace.runtime import Scratch  # noqa: E402
 
 VOCAB = [f"w{i}" for i in range(400)]
@@ -105,7 +106,7 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
-def test_batches_against_history(spark):
+def test_batches_against_history(spark, tmp_path, monkeypatch):
     docs = corpus(6)
     rnd = random.Random(7)
     ids = sorted(docs)
@@ -115,15 +116,18 @@ def test_batches_against_history(spark):
             sims[b] = sims[a] ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63))
     rows = [(i, None if rnd.random() < 0.2 else f"h{hash(docs[i]) % 9999}", None if rnd.random() < 0.1 else sims[i], str(docs[i]), rnd.randrange(6)) for i in ids]
     df = spark.createDataFrame(rows, "url_hash string, chash string, sim long, text string, b int").withColumn("tkey", F.md5("text"))
-    scratch = Scratch(spark, "t")
-    index, probed = batch_dedup.NeighbourIndex(scratch), []
-    for no in range(6):
+    folder, exact, near = str(tmp_path / "index"), [], []
+    monkeypatch.setattr(runs, "FAN", 2)
+    for no in range(6):  # every batch by another session
+        index = batch_dedup.NeighbourIndex(Scratch(spark.newSession(), "t"), folder)
         part = df.filter(F.col("b") == no).select("url_hash", "chash", "sim", "tkey")
-        if index.known is not None:
-            probed += index.probe(part).collect()
-        index.merge(part)
-    key = {r["url_hash"]: r["tkey"] for r in df.collect()}
-    got = {r["url_hash"] for r in probed if r["other"] is None or any(key[o] == r["other"] and o != r["url_hash"] and ratio(docs[o], docs[r["url_hash"]]) >= 0.65 for o in ids)}
+        if no:
+            e, n = index.probe(spark.createDataFrame(part.collect(), part.schema) if no % 2 else part)
+            exact.append(e)
+            near.append(n)
+        index.add(part.union(part.limit(2)))
+    assert 1 < len(index.keys.runs) <= 6
+    got = {r[0] for r in batch_dedup.repeats(exact, near, df.select("url_hash", "text"), Scratch(spark, "t")).collect()}
     want = set()
     for i, h, s, t, b in rows:
         for i2, h2, s2, t2, b2 in rows:
@@ -165,14 +169,15 @@ def test_residue(spark):
 
 
 def test_residue_spreads_to_near_copies(spark):
+    """A page whose own words are not plain is found by its likeness to one that is; an unlike page is not."""
     rnd = random.Random(3)
-    base = [rnd.choice(VOCAB) for _ in range(300)]
-    trusted = " ".join(base[:140]) + " {{a_b}} " + " ".join(base[140:])
-    other = " ".join(base[:140]) + " {a b} " + " ".join(base[140:])  # the slot is broken: not plain by itself
+    words = ["".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    trusted = " ".join(words[:140]) + " {{a_b}} " + " ".join(words[140:])
+    other = " ".join(words[:140]) + " {a b} " + " ".join(words[140:])  # the slot is broken: not plain by itself
     assert residue.trust(trusted) >= residue.TRUST > residue.trust(other)
-    rows = [("t", "", trusted), ("o", "", other), ("x", "", " ".join(article(rnd, 300)))]
+    rows = [("t", "", trusted), ("o", "", other), ("x", "", " ".join(reversed(words)))]
     got = {r[0] for r in residue.residue(spark.createDataFrame(rows, "url_hash string, url string, text string"), Scratch(spark, "t")).collect()}
-    assert "t" in got and "x" not in got
+    assert got == {"t", "o"}
 
 
 def test_bpe_round_trip(spark):
@@ -190,9 +195,28 @@ def test_bpe_round_trip(spark):
     got = dict(map(tuple, bpe.encode(df, "doc_id", "text").collect()))
     for i, t in enumerate(odd):
         assert got[i] == enc.encode_ordinary(t or "") and enc.decode(got[i]) == (t or "")
+    back = bpe.decode(bpe.encode(df.withColumn("ids", F.lit("clash")), "doc_id", "text"), "doc_id", "ids")
+    assert dict(map(tuple, back.collect())) == {i: t or "" for i, t in enumerate(odd)}
+    strange = spark.createDataFrame([(1, None), (2, []), (3, [10**7, bpe.encoder("byte_bpe_50k", bpe.FOLDER).first[0xE4]])], "k long, ids array<int>")
+    assert dict(map(tuple, bpe.decode(strange, "k", "ids").collect())) == {1: "", 2: "", 3: "\ufffd"}
+    assert bpe.decode(strange.limit(0), "k", "ids").count() == 0 and bpe.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_leaks(spark):
+def test_bpe_of_long_words(monkeypatch):
+    """One word of thousands of letters takes no time that grows with its square; both widths of a place agree."""
+    import time
+
+    rnd = random.Random(4)
+    enc, t = bpe.Encoder("byte_bpe_50k", bpe.FOLDER), time.time()
+    words = ["".join(chr(rnd.randrange(0x4E00, 0x4F00)) for _ in range(8000)), "a" * 3000, "ab" * 2000, "x"]
+    first = [enc.encode([w])[0] for w in words]
+    assert time.time() - t < 10
+    monkeypatch.setattr(bpe, "ENCODE", bpe.ENCODE_LONG)
+    enc.met.clear()
+    assert [enc.encode([w])[0] for w in words] == first
+
+
+def test_leaks(spark, monkeypatch):
     rnd = random.Random(9)
     items = {i: article(rnd, 40) for i in range(6)}
     docs = {}
@@ -205,12 +229,35 @@ def test_leaks(spark):
     want = {(d, i) for d, t in docs.items() if t for i, w in items.items() if any(leaks.words_of(t)[a : a + 13] == w[b : b + 13] for a in range(len(leaks.words_of(t)) - 12) for b in range(len(w) - 12))}
     dd = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     it = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(None, "x"), (9, None)], "item_id long, text string")
-    for block in (leaks.BLOCK, 4):
-        rows = leaks.leaks(dd, it, block).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+    for most in (leaks.SENT_BYTES, 0):  # seeds sent to the scan, or all shuffled
+        monkeypatch.setattr(leaks, "SENT_BYTES", most)
+        rows = leaks.leaks(dd.union(dd.limit(5)).withColumn("seed", F.lit(1)), it, Scratch(spark, "t")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
     both = next(r for r in rows if r["doc_id"] == 102)
     assert both["tiles"] == 2 and both["coverage"] == 1.0
-    assert leaks.leaks(dd, it.limit(0)).count() == 0 and leaks.leaks(dd.limit(0), it).count() == 0
+    whole = leaks.leaks(dd, it, Scratch(spark, "t"), 0.9).collect()
+    assert {r["doc_id"] for r in whole} == {102}
+    assert leaks.leaks(dd, it.limit(0), Scratch(spark, "t")).count() == 0 and leaks.leaks(dd.limit(0), it, Scratch(spark, "t")).count() == 0
+
+
+def tile(doc, item):
+    roll = leaks._Rolling()
+    return leaks.tiles(leaks.common_runs(doc, item, *(roll(leaks.word_hashes(x)) for x in (doc, item))), len(doc), len(item))
+
+
+def test_tiles_of_repeated_words():
+    """Texts of one word over and over are tiled at once; tiles never overlap and none of LEAST words is left."""
+    import time
+
+    t = time.time()
+    assert sum(n for *_, n in tile(["a"] * 3000, ["a"] * 300)) == 300
+    assert time.time() - t < 5
+    rnd = random.Random(2)
+    item = article(rnd, 60)
+    doc = item[30:] + ["x"] + item[:30] + ["y"] + item[10:24]
+    got = tile(doc, item)
+    assert sorted(n for *_, n in got) == [30, 30] and all(doc[a : a + n] == item[b : b + n] for a, b, n in got)
+    assert tile(item[:12], item) == [] and tile([], item) == [] and tile(item, item) == [(0, 0, 60)]
 
 
 def test_words_of():
@@ -226,6 +273,11 @@ def test_lookalikes(spark):
     for n, (a, b) in enumerate(same + differ):
         assert (form[2 * n] == form[2 * n + 1]) == (n < len(same)), (a, b)
     assert not {900, 901, 902} & set(form)
+    # without the word in the corpus, nothing is replaced
+    alone = spark.createDataFrame([(1, "sоlitary"), (2, "other words")], "doc_id long, text string")
+    import hashlib
+
+    assert {r["doc_id"]: r["form"] for r in lookalikes.forms(alone, Scratch(spark, "t")).collect()}[1] == hashlib.md5("sоlitary".encode()).hexdigest()
     assert lookalikes.forms(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
