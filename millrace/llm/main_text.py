@@ -1,15 +1,18 @@
 """Problem 5: the main body of a page among its menus, notices, side columns and footers.
 
-A text is a flat list of blocks, one a line. Each block has its word count, its link density (the share of its words in
-pieces that are link labels: menu entries, choices, the site's own name), what marks it as a label, notice or side
-column, and the word count and link density of its neighbours. A decision tree, grown once on the small table of
-`labelled.py`, tells body from the rest. The work is one narrow pass: no shuffle, no corpus table, nothing broadcast but
-the tree.
+A text is a flat list of blocks, one a line. Each block has its word count, its link density, whether it ends like a
+sentence or is a list entry, and the same of its neighbours: word count and link density of the lines before and after,
+the length of the run of short lines it stands in, and the link density carried down from a column's title. Link density
+is the share of a block's words in link labels. The flat text has no anchors, so a piece counts as a label by its form
+(one of several short pieces between separators) or by the lists of `furniture.py`; the lists come in through this one
+feature and the titles of columns. A decision tree, grown once on the labelled pages of `labelled.py`, tells body from the
+rest. The work is one narrow pass: no shuffle, no corpus table, nothing broadcast but the tree.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +32,12 @@ _HAN = re.compile("[㐀-鿿]")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦-]|\d+[.)])\s+\S")
 _END = re.compile(r"[.!?;:…。！？；：]['\")»”]?\s*$")
 _STOP = re.compile(r"[.。]['\")»”]?\s*$")
-NAMES = ("words", "link_density", "bars", "sentence", "notice", "action", "copyright", "side", "bullet", "site", "words_before", "links_before", "words_after", "links_after", "trail")
+NAMES = ("words", "links", "ends", "bullet", "column", "run", "words_before", "links_before", "ends_before", "words_after", "links_after", "ends_after")
+#: Those that come from other lines than the block itself.
+NEIGHBOURS = NAMES[4:]
 _LINKS = LABEL_SET | ACTION_SET | CHOICE_SET
-#: Words of a usual entry of a side column.
-SIDE_WORDS = 9
+#: Words of a usual entry of a side column, and of a link label between separators.
+SIDE_WORDS, LABEL_WORDS = 9, 4
 
 
 def _count(s: str) -> float:
@@ -40,8 +45,12 @@ def _count(s: str) -> float:
     return len(_WORDS.findall(_HAN.sub(" ", s))) + han / 2 if han else len(_WORDS.findall(s))
 
 
+def _pieces(line: str) -> list[str]:
+    return [p for p in (x.strip(" .!:,;。|·»/>›•-") for x in _SEP.split(line.strip().casefold())) if p]
+
+
 def _own(line: str) -> tuple:
-    """Features of a line of any length that need no neighbours."""
+    """(words, links, ends, bullet, title) and (bars, usual label) of a line of any length, by itself."""
     if _WIDE.search(line):  # so that no pattern goes over long blanks again and again
         line = _WIDE.sub(lambda m: "  " if "  " in m.group() else m.group()[:2], line)
     low = " ".join(line.split()).casefold()
@@ -49,32 +58,25 @@ def _own(line: str) -> tuple:
     numbered = _NUM.sub("#", plain) if _DIGIT.search(plain) else plain
     bars = len(_BARS.findall(line.strip())) if _BAR.search(line) else 0
     words = _count(line)
-    bare = numbered in LABEL_SET or numbered.replace("(#)", "").strip() in LABEL_SET
-    action = numbered in ACTION_SET
-    if not action and ":" in plain:  # an offer with its ways: share: mail, print
+    named = numbered in LABEL_SET or numbered.replace("(#)", "").strip() in LABEL_SET or numbered in ACTION_SET or bool(COPYRIGHT.match(line))
+    if not named and ":" in plain:  # an offer with its ways: share: mail, print
         head, _, tail = plain.partition(":")
-        action = head in ACTION_SET and all(x.strip() in ACTION_SET for x in tail.split(","))
+        named = head in ACTION_SET and all(x.strip() in ACTION_SET for x in tail.split(","))
     hits = sum([x in low for x in NOTICE_PIECES])
-    linked, choices = float(bare), 0
-    if not bare and (bars or hits or _CUT.search(line)):
-        pieces = [p.strip(" .!:,;。|·»/>›•-") for p in _SEP.split(line.strip().casefold())]
-        pieces = [p for p in pieces if p]
-        total = part = 0.0
-        bare_ = [_NUM.sub("", p).replace("()", "").strip() for p in pieces] if _DIGIT.search(line) or "()" in line else pieces
-        for q in bare_ if not _LINKS.isdisjoint(bare_) else ():  # else no word is in a label
-            if not q:
-                continue  # a number says nothing
-            w = _count(q) or 0.5
-            total += w
-            if q in LABEL_SET or q in ACTION_SET:
-                part += w
-            elif q in CHOICE_SET:
-                part += w
-                choices += 1
-        linked = part / total if total else 0.0
-        action = action or (len(pieces) > 1 and all(_NUM.sub("#", p) in ACTION_SET for p in pieces))
-    notice = hits + (choices if hits else 0)
-    return (words, linked, bars, float(bool(_END.search(line))), notice, float(action), float(bool(COPYRIGHT.match(line))), float(plain in SIDE_SET), float(bool(_BULLET.match(line))))
+    links = float(named)
+    if not named and (bars or hits or _CUT.search(line)):
+        pieces = _pieces(line)
+        bare = [_NUM.sub("", p).replace("()", "").strip() for p in pieces] if _DIGIT.search(line) or "()" in line else pieces
+        sizes = [_count(q) or 0.5 for q in bare]
+        total = sum(n for q, n in zip(bare, sizes) if q)  # a number says nothing
+        labels = sum(n for q, n in zip(bare, sizes) if q in _LINKS)
+        chain = sum(n for q, n in zip(bare, sizes) if q and n <= LABEL_WORDS) if bars >= 2 or bars and labels else 0.0
+        links = max(labels, chain) / total if total else 0.0
+        if bars and len(pieces) > 1 and all(_NUM.sub("#", p) in ACTION_SET for p in pieces):
+            links = 1.0
+        if hits + (sum(q in CHOICE_SET for q in bare) if hits else 0) >= 2:
+            links = 1.0
+    return (words, links, float(bool(_END.search(line))), float(bool(_BULLET.match(line))), float(plain in SIDE_SET), bars, float(named))
 
 
 #: Pages of a site repeat their lines; those that fill no memory are kept.
@@ -86,62 +88,70 @@ def _site(url: str) -> set[str]:
     return {x for x in host.split(".")[:-1] if len(x) > 3} | ({host} if host else set())
 
 
-def _sides(lines: list[str], own: list[tuple]) -> list[int]:
-    """1 for the title of a side column, 2 for its entries, however many, else 0.
+def _columns(lines: list[str], own: list[tuple]) -> list[float]:
+    """Link density carried down from the title of a column to its entries, however many; else 0.
 
-    A column ends at a blank line, footer, menu, notice or action, at another title, a list, or a body sentence. One entry
-    that is long or ends like a sentence does not end it where usual entries go on below it, or, without a full stop, the
-    footer follows; two such lines in a row are body.
+    A column ends at a blank line, at links of another kind, at another title, a list, or a body sentence. One entry that
+    is long or ends like a sentence does not end it where usual entries go on below it, or, without a full stop, links
+    follow; two such lines in a row are body.
     """
-    out, inside = [0] * len(own), False
-    if not any(f[7] for f in own):
+    out, inside = [0.0] * len(own), False
+    if not any(f[4] for f in own):
         return out
 
     def ends(i: int) -> bool:
-        words, linked, bars, sentence, notice, action, legal, title, bullet, here, trail = own[i]
-        return bool(bullet or bars or legal or action or here or linked >= 0.99 or notice >= 2 or not lines[i].strip())
+        words, links, sentence, bullet, title, bars, named = own[i]
+        return bool(bullet or bars or named or links >= 0.99 or not lines[i].strip())
 
     def usual(i: int) -> bool:
-        return not own[i][3] and own[i][0] <= SIDE_WORDS
+        return not own[i][2] and own[i][0] <= SIDE_WORDS
 
     for i, f in enumerate(own):
-        if f[7]:
-            out[i], inside = 1, True
+        if f[4]:
+            inside = True
         elif inside:
             inside = not ends(i)
             if inside and not usual(i):
-                stop = f[3] and _STOP.search(lines[i])
-                below = i + 1 < len(own) and (bool(own[i + 1][6]) and not stop or not own[i + 1][7] and not ends(i + 1) and usual(i + 1))
+                stop = f[2] and _STOP.search(lines[i])
+                below = i + 1 < len(own) and (bool(own[i + 1][6]) and not stop or not own[i + 1][4] and not ends(i + 1) and usual(i + 1))
                 inside = below and not (stop and f[0] > SIDE_WORDS)
-            out[i] = 2 * inside
+        out[i] = float(inside)
+    return out
+
+
+def _runs(own: list[tuple]) -> list[int]:
+    """Length of the run of short lines without an end that each line stands in; 0 for other lines."""
+    out, start = [0] * len(own), 0
+    for i in range(len(own) + 1):
+        if i < len(own) and 0 < own[i][0] <= SIDE_WORDS and not own[i][2] and not own[i][3]:
+            continue
+        out[start:i] = [i - start] * (i - start)
+        start = i + 1
     return out
 
 
 def _rows(lines: list[str], url: str) -> list[tuple]:
-    """Each line's own columns: NAMES without the neighbours'."""
+    """Each line's columns but those of the lines next to it: words, links, ends, bullet, column, run."""
     site, own = _site(url), []
     for line in lines:
         f = _kept(line) if len(line) <= KEPT_CHARS else _own(line)
-        words, linked, bars, sentence, notice, action, legal, title, bullet = f
-        folded, trail = line.strip().casefold(), 0.0
-        here = float(folded in site)
-        if bars >= 2 and any(p.strip() in site for p in _SEP.split(_WIDE.sub("  ", folded)) if p):
-            trail = 1.0
-        own.append((words, 1.0 if here else linked, bars, sentence, notice, action, legal, title, bullet, here, trail))
+        if line.strip().casefold() in site:
+            f = (f[0], 1.0, *f[2:6], 1.0)
+        own.append(f)
     # an entry that ends like a sentence is a headline none the less
-    return [(*f[:3], 0.0 if side else f[3], *f[4:7], side, *f[8:]) for f, side in zip(own, _sides(lines, own))]
+    return [(f[0], max(f[1], f[4]), 0.0 if c else f[2], f[3], c, r) for f, c, r in zip(own, _columns(lines, own), _runs(own))]
 
 
 def _table(pages: list[list[tuple]]) -> np.ndarray:
-    """All pages' rows with the words and links of the lines before and after, as NAMES."""
-    flat = np.array([r for p in pages for r in p], float).reshape(-1, 11)
+    """All pages' rows with words, links and ends of the lines before and after, as NAMES; lines beyond a page are 0."""
+    flat = np.array([r for p in pages for r in p], float).reshape(-1, 6)
     out = np.zeros((len(flat), len(NAMES)))
-    out[:, :10], out[:, 14] = flat[:, :10], flat[:, 10]
-    out[1:, 10:12] = flat[:-1, :2]
-    out[:-1, 12:14] = flat[1:, :2]
+    out[:, :6] = flat
+    out[1:, 6:9] = flat[:-1, :3]
+    out[:-1, 9:12] = flat[1:, :3]
     ends = np.cumsum([len(p) for p in pages])
-    out[ends[ends < len(flat)], 10:12] = 0
-    out[ends[ends > 0] - 1, 12:14] = 0
+    out[ends[ends < len(flat)], 6:9] = 0
+    out[ends[ends > 0] - 1, 9:12] = 0
     return out
 
 
@@ -153,7 +163,7 @@ def features(lines: list[str], url: str) -> np.ndarray:
 class Tree:
     """A CART classifier (Gini) for a small table; trained in the driver, carried as four arrays."""
 
-    def __init__(self, depth: int = 10, least: int = 4):
+    def __init__(self, depth: int = 6, least: int = 30):
         self.depth, self.least = depth, least
         self.col: list[int] = []
         self.cut: list[float] = []
@@ -205,14 +215,21 @@ class Tree:
             at[r] = kids[at[r], (x[r, col[at[r]]] > cut[at[r]]).astype(int)]
 
 
-@lru_cache(maxsize=1)
-def default_tree() -> Tree:
-    """The tree of the labelled table, which has a few hundred rows (its bound)."""
+def train(pages: Iterable[tuple[str, list[str], list[int]]], without: tuple[str, ...] = ()) -> Tree:
+    """A tree for (address, lines, marks); features named in `without` are not used."""
     x, y = [], []
-    for url, lines, marks in labelled.pages():
+    for url, lines, marks in pages:
         x.append(features(lines, url))
         y.append(np.array(marks, float))
-    return Tree().fit(np.vstack(x), np.concatenate(y))
+    x_ = np.vstack(x)
+    x_[:, [NAMES.index(n) for n in without]] = 0
+    return Tree().fit(x_, np.concatenate(y))
+
+
+@lru_cache(maxsize=1)
+def default_tree() -> Tree:
+    """The tree of all labelled pages, which have a few thousand lines (their bound)."""
+    return train(labelled.pages())
 
 
 def furniture(texts: list[str], urls: list[str], tree: Tree) -> list[np.ndarray]:
