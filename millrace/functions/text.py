@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import re
+from collections import Counter
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MAX_TOKENS = 20_000
 #: Words of shell pages.
@@ -21,18 +26,22 @@ def tokens(c: Column) -> Column:
     return F.coalesce(F.concat(words, pairs), F.array().cast("array<string>"))
 
 
-def sampled(t: Column, most: int = MAX_TOKENS) -> Column:
-    """TOP-06: at most `most` tokens, taken at equal strides."""
+def sampled(t: Column, most: int | None = MAX_TOKENS) -> Column:
+    """TOP-06: at most `most` tokens, taken at equal strides; None: all."""
+    if most is None:
+        return t
     n = F.size(t)
     picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(t, (F.floor(i * (n / F.lit(float(most)))) + 1).cast("int")))
     return F.when(n <= most, t).otherwise(picked)
 
 
-def clean(c: Column, limit: int = 1_000_000) -> Column:
-    """STR-04: without zero-width characters, blanks collapsed, lines trimmed, at most one empty line in a row."""
+def clean(c: Column, limit: int | None = None) -> Column:
+    """STR-04: without zero-width characters, blanks collapsed, lines trimmed, at most one empty line in a row; at most
+    `limit` characters (None: all)."""
     x = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "​‌‍﻿", ""), r"[ \t\r\f\x0B ]+", " ")
     lines = F.array_join(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), "\n")
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")), 1, limit)
+    out = F.trim(F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
+    return out if limit is None else F.substring(out, 1, limit)
 
 
 def clean_html_text(c: Column) -> Column:
@@ -46,19 +55,53 @@ def content_hash(c: Column, n: int = 16) -> Column:
     return F.substring(F.sha2(c, 256), 1, n)
 
 
-def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """AGG-14 and STR-07: (key, simhash) with the low 63 bits of the majority vote of token hashes; 0 without tokens.
+_RUN = re.compile(r"([a-z0-9_]+)|([一-鿿]+)")
+
+
+def _token_counts(text: str, most: int | None) -> Counter:
+    """Tokens of a text (STR-01) with their counts; the order of words before pairs matters only where it is sampled."""
+    found = _RUN.findall(text.lower())
+    words = [w for w, _ in found if w]
+    for _, han in found:
+        if han:
+            words += [han] if len(han) == 1 else [han[i : i + 2] for i in range(len(han) - 1)]
+    if most is not None and len(words) > most:
+        words = [words[int(i * (len(words) / most))] for i in range(most)]
+    return Counter(words)
+
+
+@lru_cache(maxsize=500_000)
+def _token_bits(token: str) -> bytes:
+    return hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()[:8]
+
+
+def _vote(text: str | None, most: int | None) -> int:
+    counts = _token_counts(text, most) if text else None
+    if not counts:
+        return 0
+    bits = np.unpackbits(np.frombuffer(b"".join(map(_token_bits, counts)), np.uint8)).reshape(-1, 64)
+    weight = np.fromiter(counts.values(), np.int64, len(counts))
+    ones = 2 * (weight @ bits) > weight.sum()
+    return int.from_bytes(np.packbits(ones).tobytes(), "big") & (1 << 63) - 1
 
-    Tokens are counted per document before the vote, so a long document shuffles each word once.
+
+def simhash_of(text: Column, most: int | None = MAX_TOKENS) -> Column:
+    """AGG-14 and STR-07: the low 63 bits of the majority vote of a text's token hashes; 0 without tokens.
+
+    A value of the row alone: texts go through an Arrow batch, nothing is shuffled. most: tokens that vote, taken at equal
+    strides (None: all).
     """
-    t = docs.select(F.col(key).alias("_k"), F.explode_outer(sampled(tokens(F.col(text)))).alias("_t"))
-    counted = t.groupBy("_k", "_t").agg(F.count("_t").alias("_n"))
-    half = lambda a: F.conv(F.substring(F.sha2("_t", 256), a, 8), 16, 10).cast("long")
-    hashed = counted.select("_k", "_n", half(1).alias("_hi"), half(9).alias("_lo"))
-    bit = lambda i: F.shiftright(F.col("_lo" if i < 32 else "_hi"), i % 32).bitwiseAND(F.lit(1))
-    voted = hashed.groupBy("_k").agg(F.sum("_n").alias("_all"), *[F.sum(F.when(bit(i) == 1, F.col("_n"))).alias(f"_b{i}") for i in range(63)])
-    bits = [F.when(F.coalesce(F.col(f"_b{i}") * 2 > F.col("_all"), F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0).cast("long")) for i in range(63)]
-    return voted.select(F.col("_k").alias(key), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("simhash"))
+
+    @F.pandas_udf(T.LongType())
+    def vote(t: pd.Series) -> pd.Series:
+        return pd.Series([_vote(x, most) for x in t], dtype="int64")
+
+    return vote(text)
+
+
+def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, simhash) of every row."""
+    return docs.select(key, simhash_of(F.col(text)).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import records as rec, redact, text as tx, url as ur
 from ..functions.keys import ref
 from ..operators import capture, dedup, metrics as mt, robots, routing, search, tasks as tk
-from ..runtime import table
+from ..runtime import Scratch, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -94,8 +94,9 @@ def doc_exact_dups(spark, d):
 
 
 def _printed(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    return docs.select("doc_id", tx.content_hash(F.col("text")).alias("h")).join(tx.simhash(docs, "doc_id", "text"), "doc_id")
+    t = F.col("text")
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", tx.content_hash(t).alias("h"), tx.simhash_of(t).alias("simhash"))
+    return Scratch(spark, "printed").put(docs, "docs")  # read several times; each text is fingerprinted once
 
 
 @query(f"WITH {_SIMHASH}, k AS (SELECT simhash, min(doc_id) AS k FROM s WHERE text IS NOT NULL GROUP BY 1) SELECT a.k AS a, b.k AS b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM k a JOIN k b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3")

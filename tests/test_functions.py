@@ -18,6 +18,8 @@ def test_urls(spark):
     pairs = [
         ("HTTP://Example.COM:80//a//b?b=2&a=1&utm_x=1#f", "http://example.com/a/b?a=1&b=2"), ("https://h.test", "https://h.test/"), ("https://h.test./a/", "https://h.test/a/"),
         ("https://h.test:8443/x", "https://h.test:8443/x"), ("https://h.test/%7Ea%2fb%c3", "https://h.test/~a/b%C3"), ("ftp://h.test/", None), ("plain words", None), (None, None),
+        ("http://h.test:99999/", None), ("http://h.test:0/a%zz%41", "http://h.test/a%zzA"), ("http://u:p%20q@H.test/", "http://u:p%2520q@h.test/"), ("http://[::1]/", None), ("http://h.test:x/", None),
+        ("https://h.test/?b=%C3%A9&b=%20x&a=1*2~", "https://h.test/?a=1%2A2~&b=+x&b=%C3%A9"), ("https://h.test/é?q=é", "https://h.test/é?q=%C3%A9"), ("https://h.test?PHPSESSID=1&sid=2&spm_x=3", "https://h.test/?PHPSESSID=1"),
         ("https://h.test/?token=z&sig=1&x=", "https://h.test/?sig=1&token=z"), ("https://h.test/?q=a+b", "https://h.test/?q=a+b"),
     ]
     got = one(spark, ur.canonical(F.col("x")), *[a for a, _ in pairs])
@@ -33,7 +35,17 @@ def test_unsafe(spark):
 
 def test_redaction(spark):
     got = one(spark, redact.personal(redact.credentials(redact.url_secrets(F.col("x")))), "联系13812345678或 a.b@c.org", "1.2.3.4.5 1.2.3.4", "https://u:p@h/?token=S&a=1", "Authorization: Bearer abcdefghij", "password = hunter2 x")
-    assert got == ["联系[手机号]或 [邮箱]", "1.2.3.4.5 [IP]", "https://[REDACTED]@h/?token=[REDACTED]&a=1", "Authorization: [REDACTED] [REDACTED]", "password=[REDACTED] x"] or got[3].count("abcdefghij") == 0 and got[:3] + got[4:] == ["联系[手机号]或 [邮箱]", "1.2.3.4.5 [IP]", "https://[REDACTED]@h/?token=[REDACTED]&a=1", "password=[REDACTED] x"]
+    assert got == ["联系[手机号]或 [邮箱]", "1.2.3.4.5 [IP]", "https://[REDACTED]@h/?token=[REDACTED]&a=1", "Authorization: [REDACTED]", "password=[REDACTED] x"]
+    assert one(spark, redact.proxy(F.col("x")), "http://u:p@Host:8080/x", "socks5://u@h", "http://h:1", "plain", None) == ["http://***@host:8080", "socks5://***@h", "http://h:1", "plain", None]
+    assert one(spark, redact.url_secrets(F.col("x")), "http://me@h/#sid=9 and http://h/a@b", "x;key=1&sort=2") == ["http://[REDACTED]@h/#sid=[REDACTED] and http://h/a@b", "x;key=[REDACTED]&sort=2"]
+
+
+def test_record_redaction(spark):
+    kind = "url string, author string, note string, token struct<a: string, n: int>, extra map<string,string>, n int"
+    df = spark.createDataFrame([("https://h/?sid=1", "a@b.org", "c@d.org", ("s", 4), {"k": "e@f.org", "Cookie": "x", "link": "http://h/?sig=2"}, 5)], kind)
+    x = df.select(redact.record(df.schema, F.struct("*")).alias("r")).select("r.*").first()
+    assert (x["url"], x["author"], x["note"], x["n"]) == ("https://h/?sid=[REDACTED]", "[邮箱]", "c@d.org", 5)
+    assert tuple(x["token"]) == ("[REDACTED]", None) and x["extra"] == {"k": "[邮箱]", "Cookie": "[REDACTED]", "link": "http://h/?sig=[REDACTED]"}
 
 
 def test_epoch(spark):
@@ -70,3 +82,25 @@ def test_quantiles_and_rules(spark):
     assert (r["p50"], r["p95"], r["p99"]) == (50.5, 95.05, 99.01)
     x = spark.createDataFrame([("direct", "ok"), ("direct", "empty_content"), ("browser", "ok"), ("inspect", "stream"), ("classify", "ok")], "s string, g string")
     assert [tuple(v[0]) for v in x.select(routing.route(F.col("s"), F.col("g"))).collect()] == [("direct_ok", "terminal", "done"), ("direct_empty_to_browser", "browser_candidate", "dead"), ("browser_ok", "terminal", "done"), ("none", "terminal", "dead"), ("classify_done_to_direct", "stage", "direct")]
+
+
+def test_resolve(spark):
+    base = "https://h.test/a/b?q=1#f"
+    hrefs = ["c", "/c#x", "//o.test/z", "?p=2", "", "../d", "./e/../g?x", "http://x.test/", "mailto:a", None, "#top"]
+    got = one(spark, ur.resolve(F.lit(base), F.col("x")), *hrefs)
+    assert got == ["https://h.test/a/c", "https://h.test/c", "https://o.test/z", "https://h.test/a/b?p=2", "https://h.test/a/b?q=1", "https://h.test/d", "https://h.test/a/g?x", "http://x.test/", "mailto:a", None, "https://h.test/a/b?q=1"]
+    assert one(spark, ur.resolve(F.lit(None).cast("string"), F.col("x")), "c#d", "../x") == ["c", "../x"]
+
+
+def test_simhash(spark):
+    import hashlib
+
+    def plain(text):
+        words = [w for w in __import__("re").findall(r"[a-z0-9_]+", text)]
+        n = [sum(1 if int.from_bytes(hashlib.sha256(w.encode()).digest()[:8], "big") >> i & 1 else -1 for w in words) for i in range(63)]
+        return sum(1 << i for i in range(63) if n[i] > 0)
+
+    texts = ["a b c d", "one two two three", "", None, "word " * 30_000 + "tail"]
+    got = one(spark, tx.simhash_of(F.col("x")), *texts)
+    assert got == [plain(t) if t else 0 for t in texts[:4]] + [plain("word")]
+    assert one(spark, tx.simhash_of(F.col("x"), None), "x " * 25_000 + "y " * 24_999) == [plain("x " * 25_000 + "y " * 24_999)]
