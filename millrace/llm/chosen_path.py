@@ -170,18 +170,19 @@ def _blocks(large: DataFrame, least: float) -> DataFrame:
 
 
 def pairs_of(sets: DataFrame, read, scratch: Scratch, least: float) -> DataFrame:
-    """sets(WALKED), one row a set that is not empty, to the pairs (a, b) of sids to check exactly.
+    """sets(WALKED), written down, one row a set that is not empty, to the pairs (a, b) of sids to check exactly.
 
     read: a table of sids to (sid, runs), one row each; asked once, for the sets in large buckets.
     """
-    rows = sets.select("sid", "n", "s1", "s2", F.explode("keys").alias("key"))
+    # only names and keys are shuffled; sizes and sketches come back to the few rows that share a bucket
+    rows, facts = sets.select("sid", F.explode("keys").alias("key")), sets.select("sid", "n", "s1", "s2")
     found, level, sets_, split = [], FIRST, None, None
     deepest, done = FIRST, runs_to(FIRST)
     while True:
         # buckets are counted by partial sums and met by a join, which splits a hot one; only buckets of two or more
         # stay, a small share of all rows
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = scratch.put(rows.join(sizes, "key"), f"buckets{level}")
+        sized = scratch.put(rows.join(sizes, "key").join(facts, "sid"), f"buckets{level}")
         found.append(_compare(sized.filter(f"size <= {SMALL}"), least))
         large = sized.filter(f"size > {SMALL}")
         deepest, none = max(deepest, level), large.isEmpty()
@@ -199,7 +200,7 @@ def pairs_of(sets: DataFrame, read, scratch: Scratch, least: float) -> DataFrame
                 split = scratch.put(open_.drop("nodes").join(sets_, "sid"), "split")
             rows = open_.join(sets_, "sid").select("sid", "n", "s1", "s2", "nodes", "runs").mapInArrow(_extend(least), WALKED)
             level += 1
-        rows = rows.select("sid", "n", "s1", "s2", F.explode("keys").alias("key"))
+        rows = rows.select("sid", F.explode("keys").alias("key"))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)
@@ -211,6 +212,7 @@ def candidates(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     kind = records.schema["id"].dataType.simpleString()
     walked = scratch.put(records.select("id", "tkey", "text").mapInArrow(_walk, f"id {kind}, tkey string, {WALKED}"), "walked")
     sets = walked.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
+    sets = scratch.put(sets, "classes")
 
     def read(sids: DataFrame) -> DataFrame:
         holder = walked.groupBy("sid").agg(F.min("tkey").alias("tkey"))
