@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import clean, clean_html_text
-
-TIME_KEYS = ("published_at", "updated_at", "created_at", "pubdate", "published", "lastmod", "date", "datetime", "time")
 #: File suffixes and the formats they stand for; generic ones decide only at the end.
 SUFFIXES = {
     "pdf": "pdf", "png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "zip": "zip", "gz": "gzip", "m3u8": "hls", "mpd": "dash", "mp4": "mp4", "mkv": "matroska", "mp3": "mp3",
@@ -69,7 +66,7 @@ def file_format(url: Column, mime: Column, head: Column | None = None) -> Column
     out = []
     if head is not None:
         hexed = F.hex(F.substring(head, 1, 16))
-        text = F.decode(F.substring(head, 1, 1024), "UTF-8")
+        text = F.decode(F.substring(head, 1, 1024), "ISO-8859-1")  # the marks are ASCII, and the cut may split a letter
         for m, n in MAGIC.items():
             out.append((F.startswith(hexed, F.lit(m)), say(F.lit(n), "magic")))
         out.append((F.contains(F.substring(text, 1, 512), F.lit("#EXTM3U")), say(F.lit("hls"), "magic")))
@@ -84,36 +81,3 @@ def file_format(url: Column, mime: Column, head: Column | None = None) -> Column
     for cond, v in out[1:]:
         x = x.when(cond, v)
     return x.otherwise(say(F.lit("unknown"), "fallback"))
-
-
-def html(c: Column) -> Column:
-    """PAR-01 (regular expressions): struct(title, text, links, meta); the first meta value of a name counts."""
-    title = F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    tags = F.regexp_extract_all(c, F.lit(r"(?is)<meta\b([^>]*)>"), F.lit(1))
-    name = lambda t: F.lower(F.regexp_extract(t, r"(?i)(?:name|property)\s*=\s*[\"']([^\"']+)[\"']", 1))
-    pairs = F.filter(F.transform(tags, lambda t: F.struct(name(t).alias("key"), F.regexp_extract(t, r"(?i)content\s*=\s*[\"']([^\"']*)[\"']", 1).alias("value"))), lambda p: p["key"] != "")
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    meta = F.map_from_entries(F.transform(keys, lambda k: F.filter(pairs, lambda p: p["key"] == k)[0]))
-    return F.struct(clean_html_text(title).alias("title"), clean_html_text(F.regexp_replace(c, r"<[^>]+>", " ")).alias("text"), links(c).alias("links"), meta.alias("meta"))
-
-
-def links(c: Column) -> Column:
-    """PAR-02: distinct href values that are pages, without fragments, in order."""
-    raw = F.regexp_extract_all(c, F.lit(r"(?i)<a\b[^>]*href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    kept = F.filter(F.transform(raw, lambda x: F.regexp_replace(F.trim(x), "#.*$", "")), lambda x: (x != "") & ~F.lower(x).rlike("^(javascript|mailto|tel):"))
-    return F.array_distinct(F.slice(kept, 1, 5000))
-
-
-def feed_items(c: Column) -> Column:
-    """PAR-03: items of RSS or Atom as array of struct(title, link, published, summary); null with a DTD."""
-    items = F.regexp_extract_all(c, F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1))
-    tag = lambda x, n: clean(F.regexp_replace(F.regexp_replace(F.regexp_extract(x, rf"(?is)<(?:{n})\b[^>]*>(.*?)</(?:{n})>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"<[^>]+>", " "))
-    href = lambda x: F.regexp_extract(x, r"(?is)<link\b[^>]*href\s*=\s*[\"']([^\"']+)", 1)
-    out = F.transform(F.slice(items, 1, 5000), lambda x: F.struct(tag(x, "title").alias("title"), F.when(tag(x, "link") != "", tag(x, "link")).otherwise(href(x)).alias("link"), tag(x, "pubDate|published|updated").alias("published"), tag(x, "description|summary").alias("summary")))
-    return F.when(~F.substring(c, 1, 4096).rlike("(?i)<!(DOCTYPE|ENTITY)"), out)
-
-
-def sitemap(c: Column) -> Column:
-    """PAR-04: struct(urls, sitemaps) of a sitemap or its index."""
-    loc = lambda outer, n: F.slice(F.transform(F.regexp_extract_all(c, F.lit(rf"(?is)<{outer}\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>.*?</{outer}>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))), 1, n)
-    return F.struct(loc("url", 50_000).alias("urls"), loc("sitemap", 5_000).alias("sitemaps"))

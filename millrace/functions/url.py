@@ -167,3 +167,13 @@ def retry_after(c: Column, now: Column, most: float = 300.0) -> Column:
     date = F.try_to_timestamp(F.regexp_replace(x, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
     secs = F.when(x.rlike(r"^\d{1,15}$"), x.try_cast("double")).otherwise(F.greatest(F.lit(0.0), date.cast("double") - now))
     return F.least(F.lit(most), secs)
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _unsafe_each_udf(urls: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else [_unsafe_one(u) for u in a] for a in urls])
+
+
+def unsafe_each(urls: Column) -> Column:
+    """`unsafe` of every address of an array."""
+    return _unsafe_each_udf(urls)
