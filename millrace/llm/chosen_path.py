@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch
 from .alike import LEAST, RUN, SENT
-from .texts import mix, runs_of, signature, tokens
+from .texts import jaccard, mix, runs_of, signature, tokens
 
 #: Levels walked at once, largest bucket compared outright, greatest depth, wanted recall at the threshold.
 FIRST, SMALL, DEEPEST, RECALL = 2, 128, 8, 0.9999
@@ -107,17 +107,31 @@ def _walk(batches):
     import pyarrow as pa
 
     for b in batches:
+        b = b.filter(b.column("text").is_valid())
         sets = runs_of([tokens(t) for t in b.column("text").to_pylist()], RUN)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tkey"), *walk(sets, LEAST)], names=["id", "tkey", *_NAMES])
+        yield pa.RecordBatch.from_arrays([b.column("id"), *walk(sets, LEAST)], names=["id", *_NAMES])
 
 
 def _token_sets(batches):
-    """Texts to the sets of their token runs."""
+    """Texts to the sets of their token runs, with their names."""
     import pyarrow as pa
 
     for b in batches:
-        sets = runs_of([tokens(t) for t in b.column("text").to_pylist()], RUN)
-        yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["sid", "runs"])
+        sets = runs_of([tokens(t) for t in b.column("text").to_pylist() if t is not None], RUN)
+        yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["sid", "runs"])
+
+
+def _alike(least: float):
+    """Pairs with both sets to those that are similar enough."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = [jaccard(np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)) >= least for x, y in zip(b.column("ra"), b.column("rb"))]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _extend(least: float):
@@ -200,25 +214,50 @@ def pairs_of(sets: DataFrame, read, scratch: Scratch, least: float) -> DataFrame
                 split = scratch.put(open_.drop("nodes").join(sets_, "sid"), "split")
             rows = open_.join(sets_, "sid").select("sid", "n", "s1", "s2", "nodes", "runs").mapInArrow(_extend(least), WALKED)
             level += 1
-        rows = rows.select("sid", F.explode("keys").alias("key"))
+        # written down, as both the counts and the rows are made of it
+        rows = scratch.put(rows.select("sid", "keys"), "walk").select("sid", F.explode("keys").alias("key"))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)
     return pairs.distinct()
 
 
-def candidates(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """records(id, tkey, text) to (members(id, tkey, sid, n), pairs(a, b) of sids to check exactly); tkey names the text."""
-    kind = records.schema["id"].dataType.simpleString()
-    walked = scratch.put(records.select("id", "tkey", "text").mapInArrow(_walk, f"id {kind}, tkey string, {WALKED}"), "walked")
-    sets = walked.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
-    sets = scratch.put(sets, "classes")
+def verified(pairs: DataFrame, read, scratch: Scratch, least: float) -> DataFrame:
+    """The pairs (a, b) of sids whose sets are similar enough; `read` as for `pairs_of`."""
+    pairs = scratch.put(pairs, "pairs")
+    sets = scratch.put(read(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()), "sets")
+    z = pairs.join(sets.select(F.col("sid").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("sid").alias("b"), F.col("runs").alias("rb")), "b")
+    return z.select("a", "b", "ra", "rb").mapInArrow(_alike(least), "a long, b long")
+
+
+def reader(holders: DataFrame, records: DataFrame, build, sets_of, scratch: Scratch):
+    """A function from a table of sids to (sid, runs). holders(sid, holder): a record that has the set; build: records with
+    `id` to what sets_of (Arrow batches to sid, runs) takes. Records that are no holder are left out by their id, before
+    anything of them is parsed; few holders are sent to the scan."""
 
     def read(sids: DataFrame) -> DataFrame:
-        holder = walked.groupBy("sid").agg(F.min("tkey").alias("tkey"))
-        held = scratch.put(sids.join(holder, "sid"), "held")
-        held = F.broadcast(held) if held.count() <= SENT else held
-        texts = records.select("tkey", "text").join(held, "tkey").select("sid", "text")
-        return texts.mapInArrow(_token_sets, "sid long, runs array<long>").dropDuplicates(["sid"])
+        held = scratch.put(sids.join(holders, "sid"), "held")
+        side = held.select(F.col("holder").alias("want")).distinct()
+        side = F.broadcast(side) if held.count() <= SENT else side
+        found = build(records.join(side, records["id"] == side["want"], "left_semi")).drop("id")
+        return found.mapInArrow(sets_of, "sid long, runs array<long>").dropDuplicates(["sid"]).join(held.select("sid"), "sid", "left_semi")
+
+    return read
 
-    return walked.select("id", "tkey", "sid", "n"), pairs_of(sets, read, scratch, LEAST)
+
+def one_each(walked: DataFrame) -> DataFrame:
+    """One row of each set of a table with sid and row, a number that is written down; only those two are shuffled where the
+    names are few, and never are the nodes aggregated."""
+    first = walked.groupBy("sid").agg(F.min("row").alias("row")).select("row")
+    return walked.join(first, "row", "left_semi").drop("row")
+
+
+def similar(records: DataFrame, scratch: Scratch, build=None) -> tuple[DataFrame, DataFrame]:
+    """Records with `id`, of which build makes (id, text) (they have both by default), to (members(id, sid), pairs(a, b) of
+    different sets that are alike); null texts and texts without a run of tokens are in no set."""
+    build = build or (lambda r: r.select("id", "text"))
+    kind = records.schema["id"].dataType.simpleString()
+    walked = scratch.put(build(records).mapInArrow(_walk, f"id {kind}, {WALKED}").withColumn("row", F.monotonically_increasing_id()), "walked").filter("n > 0")
+    sets = scratch.put(one_each(walked).withColumnRenamed("id", "holder"), "classes")
+    read = reader(sets.select("sid", "holder"), records, build, _token_sets, scratch)
+    return walked.select("id", "sid"), verified(pairs_of(sets, read, scratch, LEAST), read, scratch, LEAST)

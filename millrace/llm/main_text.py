@@ -246,10 +246,10 @@ def furniture(texts: list[str], urls: list[str], tree: Tree) -> list[np.ndarray]
 
 
 def records(extracted: DataFrame) -> DataFrame:
-    """url_hash, url and text of readable records."""
-    v = extracted.select("url_hash", F.try_parse_json("data_json").alias("v")).filter("url_hash is not null and v is not null")
-    get = lambda k: F.coalesce(F.try_variant_get("v", f"$.{k}", "string"), F.lit(""))
-    return v.select("url_hash", get("url").alias("url"), get("text").alias("text"))
+    """url_hash, url and text of all records; both are null where the record does not parse."""
+    v = F.try_parse_json("data_json")
+    get = lambda k: F.when(v.isNotNull(), F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")))
+    return extracted.filter("url_hash is not null").select("url_hash", get("url").alias("url"), get("text").alias("text"))
 
 
 def body_lines(recs: DataFrame, tree: Tree | None = None) -> DataFrame:

@@ -17,11 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import Scratch, table
-from .alike import SENT
-from .chosen_path import WALKED, pairs_of, walk
+from .chosen_path import WALKED, one_each, pairs_of, reader, verified, walk
 from .components import connected
 from .main_text import default_tree, furniture, records
-from .texts import jaccard, runs_of, signature
+from .texts import runs_of, signature
 
 #: Share of a core's characters that plain residue must have; words a run, least similarity.
 TRUST, RUN, LEAST = 0.5, 5, 0.8
@@ -176,7 +175,8 @@ def _fingerprints(tree):
         import pyarrow as pa
 
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            b = b.filter(b.column("text").is_valid())
+            texts = b.column("text").to_pylist()
             marks = furniture(texts, b.column("url").to_pylist(), tree)
             cores = ["\n".join(x for x, m in zip(t.split("\n"), k) if not m).strip() for t, k in zip(texts, marks)]
             sets = core_runs(cores)
@@ -191,7 +191,8 @@ def _sets(tree):
         import pyarrow as pa
 
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            b = b.filter(b.column("text").is_valid())
+            texts = b.column("text").to_pylist()
             marks = furniture(texts, b.column("url").to_pylist(), tree)
             sets = core_runs(["\n".join(x for x, m in zip(t.split("\n"), k) if not m).strip() for t, k in zip(texts, marks)])
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["sid", "runs"])
@@ -199,14 +200,6 @@ def _sets(tree):
     return run
 
 
-def _similar(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        keep = [jaccard(np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)) >= LEAST for x, y in zip(b.column("ra"), b.column("rb"))]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def simhash_tables(sim: str = "sim", bits: int = 64, blocks: int = BLOCKS, far: int = FAR):
     """Keys of the tables: within `far` bits two hashes agree on at least blocks - far whole blocks, so on one key."""
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
@@ -220,31 +213,27 @@ def simhash_tables(sim: str = "sim", bits: int = 64, blocks: int = BLOCKS, far:
     return F.array(*out)
 
 
-def near_cores(cores: DataFrame, recs: DataFrame, tree, scratch: Scratch) -> DataFrame:
+def near_cores(cores: DataFrame, source: DataFrame, tree, scratch: Scratch, build=None) -> DataFrame:
     """Verified pairs (a, b) of core ids: cores(WALKED, holder), holder being a record that has the core."""
 
-    def read(sids: DataFrame) -> DataFrame:
-        wanted = scratch.put(sids.join(cores.select("sid", "holder"), "sid").select(F.col("holder").alias("want")).distinct(), "wanted")
-        side = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-        texts = recs.join(side, recs["url_hash"] == side["want"], "left_semi")
-        return texts.select("url", "text").mapInArrow(_sets(tree), "sid long, runs array<long>").dropDuplicates(["sid"])
-
-    pairs = scratch.put(pairs_of(cores, read, scratch, LEAST), "pairs")
-    sets = scratch.put(read(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()), "sets")
-    z = pairs.join(sets.select(F.col("sid").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("sid").alias("b"), F.col("runs").alias("rb")), "b")
-    return z.select("a", "b", "ra", "rb").mapInArrow(_similar, "a long, b long")
+    build = build or (lambda r: r.select("url_hash", "url", "text"))
+    read = reader(cores.select("sid", "holder"), source.withColumn("id", F.col("url_hash")), lambda r: build(r).select("url", "text"), _sets(tree), scratch)
+    return verified(pairs_of(cores, read, scratch, LEAST), read, scratch, LEAST)
 
 
-def residue(recs: DataFrame, scratch: Scratch) -> DataFrame:
-    """records(url_hash, url, text) to url_hash of those that are residue.
+def residue(source: DataFrame, scratch: Scratch, build=None) -> DataFrame:
+    """records(url_hash, url, text), or what `build` makes them of, to url_hash of those that are residue.
 
-    A core without words is none. Null texts are empty; repeated rows count once; an empty table gives no rows.
+    A core without words is none. Null texts are no records; repeated rows count once; an empty table gives no rows.
     """
     tree = default_tree()
-    marked = scratch.put(recs.select("url_hash", "url", "text").mapInArrow(_fingerprints(tree), f"url_hash string, trusted boolean, {WALKED}"), "marked")
-    cores = marked.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")), F.max("trusted").alias("trusted"), F.min("url_hash").alias("holder"))
+    recs = source if build is None else build(source)
+    marks = recs.select("url_hash", "url", "text").mapInArrow(_fingerprints(tree), f"url_hash string, trusted boolean, {WALKED}")
+    marked = scratch.put(marks.withColumn("row", F.monotonically_increasing_id()), "marked")
+    plain = marked.groupBy(F.col("sid").alias("of")).agg(F.max("trusted").alias("plain"))
+    cores = one_each(marked).withColumnRenamed("url_hash", "holder").drop("trusted").join(plain, F.col("sid") == F.col("of")).drop("of").withColumnRenamed("plain", "trusted")
     cores = scratch.put(cores, "cores")
-    edges = scratch.put(near_cores(cores.filter("n > 0"), recs, tree, scratch), "edges")
+    edges = scratch.put(near_cores(cores.filter("n > 0"), source, tree, scratch, build), "edges")
     comp = connected(edges, scratch)
     labelled = cores.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "trusted", F.coalesce("component", "sid").alias("component"))
     bad = labelled.filter("trusted").select("component").distinct()
@@ -253,4 +242,4 @@ def residue(recs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue(records(table(spark, d, "extracted")), Scratch(spark, "p1"))
+    return residue(table(spark, d, "extracted").select("url_hash", "data_json"), Scratch(spark, "p1"), records)
