@@ -24,7 +24,7 @@ from ..runtime import Scratch, table
 from . import alike
 from .near_dups import BIG
 from .residue import simhash_tables
-from .texts import readable
+from .texts import readable, text_or_null
 
 FAR, BITS = 3, 63
 _LOW = (1 << 63) - 1
@@ -56,9 +56,10 @@ class NeighbourIndex:
     def _classed(self, batch: DataFrame) -> DataFrame:
         return batch.filter("url_hash is not null and sim is not null and tkey is not null").withColumn("cid", self._class())
 
-    def probe(self, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of a batch: exact(url_hash) with an equal content hash earlier, and near(url_hash, cid, tkey, holder, other,
-        lo), pages with an earlier class within FAR bits, to be checked; `holder` and `lo` are pages that have the texts.
+    def probe(self, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of a batch: exact(url_hash), pages with an equal content hash earlier; near(mine, tkey, holder, other, lo, hi), its
+        classes with earlier ones within FAR bits, to be checked; pages(url_hash, mine). `holder` and `lo` are pages that
+        have the texts `tkey` and `other`; `lo` and `hi` are the least and greatest page of the earlier class.
         """
         s, another = self.scratch, (F.col("lo") != F.col("url_hash")) | (F.col("hi") != F.col("url_hash"))
         hashed = new.filter("url_hash is not null and chash is not null").select("url_hash", F.lit("h").alias("kind"), F.col("chash").alias("id"))
@@ -71,9 +72,8 @@ class NeighbourIndex:
         pairs = s.put(window.select("mine", "cid").distinct(), "pairs")
         held = _known(self.known.asked(s.put(pairs.select(F.lit("c").alias("kind"), F.col("cid").cast("string").alias("id")).distinct(), "ids")))
         met = pairs.select("mine", F.col("cid").cast("string").alias("id")).join(held.select("id", F.col("tkey").alias("other"), "lo", "hi"), "id")
-        near = met.join(classes.select(F.col("cid").alias("mine"), "tkey", "holder"), "mine").drop("id")
-        near = pages.select("url_hash", F.col("cid").alias("mine")).distinct().join(near, "mine").filter(another)
-        return s.put(exact, "exact"), s.put(near.select("url_hash", "tkey", "holder", "other", "lo"), "near")
+        near = met.join(classes.select(F.col("cid").alias("mine"), "tkey", "holder"), "mine").select("mine", "tkey", "holder", "other", "lo", "hi")
+        return s.put(exact, "exact"), s.put(near, "near"), pages.select("url_hash", F.col("cid").alias("mine")).distinct()
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch: one run of keys, one of hashes and classes."""
@@ -91,35 +91,39 @@ def arrivals(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
     batch."""
     pages = table(spark, d, "pages").filter(f"size >= {BIG} and url_hash is not null and batch_no is not null")
     pages = pages.select("url_hash", "batch_no", F.lower(F.trim("content_hash")).alias("chash"), F.col("simhash").bitwiseAND(F.lit(_LOW)).alias("sim")).distinct()
-    texts = readable(table(spark, d, "extracted")).select(F.col("url_hash").alias("u"), F.md5("text").alias("tkey")).distinct()
+    texts = table(spark, d, "extracted").filter("url_hash is not null").select(F.col("url_hash").alias("u"), F.md5(text_or_null(F.col("data_json"))).alias("tkey")).distinct()
     path = scratch.path("arrivals")
     pages.join(texts, F.col("url_hash") == F.col("u"), "left").drop("u").repartition("batch_no", F.pmod(F.xxhash64("url_hash"), F.lit(8))).write.partitionBy("batch_no").parquet(path)
     return spark.read.schema("url_hash string, chash string, sim long, tkey string, batch_no int").parquet(path)
 
 
-def repeats(exact: list[DataFrame], near: list[DataFrame], texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """url_hash of the pages of `probe` that are repeats, the near ones checked by texts(url_hash, text)."""
-    near_ = reduce(DataFrame.union, near)
-    holders = scratch.put(near_.select(F.col("holder").alias("u")).union(near_.select("lo")).distinct(), "holders")
+def repeats(probed: list[tuple[DataFrame, DataFrame, DataFrame]], source: DataFrame, scratch: Scratch, build=None) -> DataFrame:
+    """url_hash of the pages of `probe` that are repeats, the near ones checked by source(url_hash, text), or what `build`
+    makes of it; only records of wanted pages are parsed. Classes are checked and then come down to one row each, the least
+    and greatest page they met, before pages come in."""
+    tag = lambda k: reduce(DataFrame.union, [p[k].withColumn("batch", F.lit(n)) for n, p in enumerate(probed)])
+    near = tag(1)
+    holders = scratch.put(near.select(F.col("holder").alias("u")).union(near.select("lo")).distinct(), "holders")
     side = F.broadcast(holders) if holders.count() <= alike.SENT else holders
-    read = texts.join(side, F.col("url_hash") == F.col("u"), "left_semi").select(F.md5("text").alias("id"), "text")
-    ok = alike.verify(near_.select(F.col("tkey").alias("a"), F.col("other").alias("b")).distinct(), read, scratch)
-    hit = near_.join(ok, (F.col("tkey") == F.col("a")) & (F.col("other") == F.col("b")), "left_semi").select("url_hash")
-    return reduce(DataFrame.union, exact).union(hit).distinct()
+    held = source.join(side, F.col("url_hash") == F.col("u"), "left_semi")
+    read = (held if build is None else build(held)).select(F.md5("text").alias("id"), "text")
+    ok = alike.verify(near.select(F.col("tkey").alias("a"), F.col("other").alias("b")).distinct(), read, scratch)
+    good = near.join(ok, (F.col("tkey") == F.col("a")) & (F.col("other") == F.col("b")), "left_semi")
+    met = good.groupBy("batch", "mine").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    hit = tag(2).join(met, ["batch", "mine"]).filter((F.col("lo") != F.col("url_hash")) | (F.col("hi") != F.col("url_hash")))
+    return reduce(DataFrame.union, [p[0] for p in probed]).union(hit.select("url_hash")).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Big pages that repeat, exactly or nearly, what an earlier batch brought."""
     scratch = Scratch(spark, "p3")
     pages = arrivals(spark, d, scratch)
-    index, exact, near = NeighbourIndex(scratch), [], []
+    index, probed = NeighbourIndex(scratch), []
     for n, (no,) in enumerate(pages.select("batch_no").distinct().orderBy("batch_no").collect()):  # batches, not rows
         batch = pages.filter(F.col("batch_no") == no).drop("batch_no")
         if n:
-            e, c = index.probe(batch)
-            exact.append(e)
-            near.append(c)
+            probed.append(index.probe(batch))
         index.add(batch)
-    if not exact:
+    if not probed:
         return pages.select("url_hash").limit(0)
-    return repeats(exact, near, readable(table(spark, d, "extracted")), scratch)
+    return repeats(probed, table(spark, d, "extracted").select("url_hash", "data_json"), scratch, readable)
