@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
 
-K1, B, MOST = 1.2, 0.75, 40_000
+K1, B = 1.2, 0.75
 
 
-def index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """STR-02: postings (key, pos, term); `_` separates words, as in the index itself."""
-    t = F.slice(tokens(F.regexp_replace(F.col(text), "_", " ")), 1, MOST)
+def index(docs: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """STR-02: postings (key, pos, term) of whole texts, or of their first `most` tokens; `_` separates words."""
+    t = tokens(F.regexp_replace(F.col(text), "_", " "))
+    t = t if most is None else F.slice(t, 1, most)
     return docs.select(key, F.posexplode(t).alias("pos", "term"))
 
 

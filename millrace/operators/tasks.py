@@ -47,9 +47,21 @@ def recover(tasks: DataFrame, now: float) -> DataFrame:
     return tasks.withColumns({"state": F.when(out, F.when(dead, "dead").otherwise("retry")).otherwise(F.col("state")), "attempts": F.col("attempts") + F.when(out, 1).otherwise(0)})
 
 
-def claim(tasks: DataFrame, n: int) -> DataFrame:
-    """TOP-01: the first n claimable tasks by updated_at, then task_id."""
-    return tasks.filter(F.col("state").isin(*CLAIMABLE)).orderBy("updated_at", "task_id").limit(n)
+def claim(tasks: DataFrame, n: int, now: float | None = None) -> DataFrame:
+    """TOP-01: the first n claimable tasks by updated_at, then task_id; with `now`, expired leases are recovered first."""
+    t = tasks if now is None else recover(tasks, now)
+    return t.filter(F.col("state").isin(*CLAIMABLE)).orderBy("updated_at", "task_id").limit(n)
+
+
+def expired_count(tasks: DataFrame, now: float) -> DataFrame:
+    """AGG-20."""
+    return tasks.agg(F.count_if(expired(now)).alias("expired"))
+
+
+def capacity(tasks: DataFrame, most: int) -> DataFrame:
+    """AGG-18, STM-07: depth of the queue, whether it takes another task, and why not."""
+    x = tasks.agg(F.count_if(F.col("state").isin(*CLAIMABLE)).alias("depth"))
+    return x.select("depth", (F.col("depth") < most).alias("accepts"), F.when(F.col("depth") < most, "").otherwise("full").alias("reason"))
 
 
 def requeue(tasks: DataFrame, most: int = 5) -> DataFrame:
@@ -106,6 +118,138 @@ def last_decision(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("task_id").agg(F.max_by("signal", "id").alias("signal"), F.max(d).alias("d")).select("task_id", "signal", F.col("d.decision").alias("decision"), F.col("d.reason").alias("reason"))
 
 
+def ledger_summary(counts: DataFrame) -> DataFrame:
+    """AGG-04: the five counts with total and changed."""
+    five = ["new", "unchanged", "updated", "policy_denied", "failed"]
+    total = sum((F.col(c) for c in five[1:]), F.col(five[0]))
+    return counts.select(*five, total.alias("total"), (F.col("new") + F.col("updated")).alias("changed"))
+
+
+def ledger_events(events: DataFrame, state: str | None = None, limit: int = 100, kept: int | None = None) -> DataFrame:
+    """AGG-05: the last `limit` events(at, state, url) of a state (None: any), newest first; `kept`: only among the oldest so
+    many (None: all)."""
+    x = events if kept is None else events.orderBy("at", "url").limit(kept)
+    if state is not None:
+        x = x.filter(F.col("state") == state)
+    return x.orderBy(F.col("at").desc(), "url").limit(limit)
+
+
+def dead_letters_of(letters: DataFrame, tasks: DataFrame, n: int = 5) -> DataFrame:
+    """JOIN-06, WIN-07: the newest n letters(at, label, error) whose label holds a task's id. Ids are cut out of the labels
+    as runs of letters and digits, so the join is by key."""
+    words = F.array_distinct(F.regexp_extract_all("label", F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    x = letters.select("at", "label", "error", F.explode(words).alias("task_id")).join(tasks.select("task_id").distinct(), "task_id", "left_semi")
+    w = Window.partitionBy("task_id").orderBy(F.col("at").desc(), "label", "error")
+    return x.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+
+
+def forget(tasks: DataFrame, evidence: DataFrame, errors: DataFrame, ids: DataFrame) -> DataFrame:
+    """AGG-19, SUP-31: what forgetting the tasks `ids` would delete: tasks, evidence, errors, and those skipped in flight."""
+    t = tasks.join(ids.select("task_id").distinct(), "task_id", "left_semi")
+    gone = t.filter(~F.col("state").isin(*IN_FLIGHT)).select("task_id")
+    a = t.agg(F.count_if(~F.col("state").isin(*IN_FLIGHT)).alias("tasks"), F.count_if(F.col("state").isin(*IN_FLIGHT)).alias("skipped"))
+    b = evidence.join(gone, "task_id", "left_semi").agg(F.count("*").alias("evidence"))
+    c = errors.join(gone, "task_id", "left_semi").agg(F.count("*").alias("errors"))
+    return a.crossJoin(b).crossJoin(c)  # one row each
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """SUP-31: rows of a table by task_id without those of the ids."""
+    return rows.join(ids.select("task_id").distinct(), "task_id", "left_anti")
+
+
+def evidence_of_parse(parsed: Column, most: int = 300) -> Column:
+    """SUP-01: struct(signal, decision, reason) of a parse result with ok and error."""
+    return F.when(parsed["ok"], F.struct(F.lit("ok").alias("signal"), F.lit("capture").alias("decision"), F.lit("").alias("reason"))).otherwise(F.struct(F.lit("parser_failed").alias("signal"), F.lit("keep_raw").alias("decision"), F.substring(F.coalesce(parsed["error"], F.lit("")), 1, most).alias("reason")))
+
+
+EVIDENCE = "struct<signal: string, decision: string, reason: string, stage: string, facts: map<string,string>, at: double>"
+
+
+def evidence_json(evidence: Column) -> Column:
+    """SUP-02: evidence as JSON text; `F.from_json` with EVIDENCE brings it back."""
+    return F.to_json(evidence)
+
+
+def add_evidence(rows: DataFrame, items: str) -> DataFrame:
+    """SUP-03: rows(task_id, items) with an array of evidence structs to one row an item, in order; null arrays give none."""
+    return rows.select("task_id", F.posexplode(items).alias("place", "e")).select("task_id", "place", "e.*")
+
+
 def export(kind: str, rows: DataFrame) -> DataFrame:
     """SRC-16: rows as JSON text with their kind, ready for a text sink."""
     return rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct(F.lit(kind).alias("kind"), *rows.columns)).alias("line"))
+
+
+def explained(tasks: DataFrame, last: DataFrame) -> DataFrame:
+    """STR-19: one line a task for people: id, state, what was last decided and why, attempts."""
+    x = tasks.join(last.select(F.col("task_id").alias("_t"), "decision", "reason"), F.col("task_id") == F.col("_t"), "left")
+    why = F.when(F.coalesce("decision", F.lit("")) != "", F.concat(F.lit(": "), "decision", F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" ("), "reason", F.lit(")"))).otherwise(""))).otherwise("")
+    return x.select("task_id", F.concat("task_id", F.lit(" "), "state", why, F.lit(", attempts "), F.coalesce("attempts", F.lit(0)).cast("string")).alias("line"))
+
+
+#: Budgets by name.
+BUDGETS = {"default": {"max_attempts": 3, "max_transitions": 8}, "small": {"max_attempts": 2, "max_transitions": 4}, "media": {"max_attempts": 5, "max_transitions": 12}}
+
+
+def constructed(targets: DataFrame, kind: str, target: str, budget: str = "default") -> DataFrame:
+    """SUP-05: new pending tasks of a kind for targets; `derive` needs no network. Null targets give none."""
+    b = F.to_json(F.create_map(*[F.lit(x) for kv in BUDGETS[budget].items() for x in kv]))
+    key = F.substring(F.sha2(F.concat(F.lit(kind + "|"), F.col(target)), 256), 1, 32)
+    resources = F.lit("{}" if kind == "derive" else '{"network":1}')
+    return targets.filter(F.col(target).isNotNull()).select(F.lit(kind).alias("kind"), F.col(target).alias("target"), key.alias("idempotency_key"), resources.alias("resources_json"), b.alias("budget_json"), F.lit("pending").alias("state"), F.lit(0).cast("long").alias("attempts"))
+
+
+TASK = "struct<task_id: string, kind: string, target: string, state: string, attempts: bigint, policy: map<string,string>, budget: map<string,string>, evidence: array<struct<signal: string, at: double>>>"
+
+
+def serialized(tasks: DataFrame) -> DataFrame:
+    """SUP-04: (task_id, row), the task with its policy and budget as one JSON text; broken JSON in them becomes null."""
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    none = F.array().cast("array<struct<signal: string, at: double>>")
+    return tasks.select("task_id", F.to_json(F.struct("task_id", "kind", "target", "state", "attempts", as_map("policy_json").alias("policy"), as_map("budget_json").alias("budget"), none.alias("evidence"))).alias("row"))
+
+
+def deserialized(rows: DataFrame, row: str) -> DataFrame:
+    """SUP-04: the task of each JSON text."""
+    return rows.select(F.from_json(row, TASK).alias("t")).select("t.*")
+
+
+def with_state(tasks: DataFrame, state: Column, signal: Column, at: Column) -> DataFrame:
+    """SUP-04: tasks in a new state, with one more entry in their evidence."""
+    return tasks.withColumns({"state": state, "evidence": F.array_append("evidence", F.struct(signal.alias("signal"), at.alias("at")))})
+
+
+def bumped(counts: DataFrame, state: str, n: int = 1) -> DataFrame:
+    """SUP-18: a one-row ledger with one of its counts raised."""
+    return counts.withColumn(state, F.col(state) + n)
+
+
+def problems(wanted: Column, capacities: dict[str, int], tiers: tuple[str, ...] = (), tier: Column | None = None) -> Column:
+    """FLT-09: what is wrong with a request (map of resource to number): unknown, no capacity, over capacity, bad tier."""
+    have = F.create_map(*[F.lit(x) for kv in capacities.items() for x in kv]) if capacities else F.create_map().cast("map<string,int>")
+
+    def one(e: Column) -> Column:
+        c = have[e["key"]]
+        why = F.when(c.isNull(), "unknown").when(c <= 0, "no_capacity").when(e["value"] > c, "over_capacity")
+        return F.when(why.isNotNull(), F.concat(e["key"], F.lit(":"), why))
+
+    out = F.array_compact(F.transform(F.array_sort(F.map_entries(wanted)), one))
+    return out if tier is None else F.concat(out, F.when(tier.isin(*tiers), F.array().cast("array<string>")).otherwise(F.array(F.lit("tier:bad"))))
+
+
+def plan_memory(plan: DataFrame, budget: float) -> DataFrame:
+    """FLT-15, SUP-06: plan(name, size, peak_mb): memory in all, whether the budget holds it, and how many rows are wrong
+    (a size below 1 or a null)."""
+    bad = F.coalesce(F.col("size"), F.lit(0)) < 1
+    return plan.agg(F.coalesce(F.sum(F.when(~bad, F.col("size") * F.col("peak_mb"))), F.lit(0.0)).cast("double").alias("mb"), F.count_if(bad).alias("wrong")).withColumn("fits", (F.col("mb") <= budget) & (F.col("wrong") == 0))
+
+
+def resting(limits: DataFrame, now: float, most: int | None = None) -> DataFrame:
+    """SUP-14: limits(domain, throttles, until, used_at) with `resting`; beyond `most` domains the oldest eighth of those
+    that do not rest is dropped."""
+    x = limits.withColumn("resting", F.coalesce(F.col("until") > now, F.lit(False)))
+    if most is None or (n := x.count()) <= most:
+        return x
+    old = x.filter("not resting").orderBy("used_at", "domain").limit(max(1, n // 8)).select("domain")
+    return x.join(old, "domain", "left_anti")

@@ -127,7 +127,7 @@ def _search_sql(phrases: list[list[str]]) -> str:
         joins = " ".join(f"JOIN t t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.pos = t0.pos + {i} AND t{i}.term = '{w}'" for i, w in enumerate(p) if i)
         parts.append(f"SELECT {n} AS p, t0.doc_id, count(*) AS f FROM t t0 {joins} WHERE t0.term = '{p[0]}' GROUP BY t0.doc_id")
     toks = _TOKENS.replace("lower(text)", "lower(replace(text, '_', ' '))")
-    return f"""WITH l AS (SELECT doc_id, list_slice({toks}, 1, 40000) AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM l),
+    return f"""WITH l AS (SELECT doc_id, {toks} AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM l),
 z AS (SELECT doc_id, count(*) AS len FROM t GROUP BY 1), a AS (SELECT count(*) AS docs, avg(len) AS av FROM z), h AS ({' UNION ALL '.join(parts)}),
 df AS (SELECT p, count(*) AS n FROM h GROUP BY 1),
 x AS (SELECT h.doc_id, count(*) AS found, sum(CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av))) AS s FROM h JOIN df USING (p) JOIN z USING (doc_id), a GROUP BY 1)
