@@ -13,11 +13,11 @@ import zipfile
 from io import BytesIO
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .records import epoch
 from .text import clean, clean_html_text
-from .url import resolve
+from .url import resolve, unsafe_one
 
 #: Keys that may hold a publication time, in this order.
 TIME_KEYS = ("published_at", "updated_at", "created_at", "pubdate", "published", "lastmod", "date", "datetime", "time")
@@ -26,6 +26,11 @@ FIELDS = ("url", "title", "text", "published_at", "author", "site", "tags", "lin
 _DTD = "(?i)<!(?:DOCTYPE|ENTITY)"
 
 
+def _some(c: Column) -> Column:
+    """Null for ''; not `nullif`, whose shared expression keeps a UDF above it from being taken out."""
+    return F.when(c != "", c)
+
+
 def _most(a: Column, n: int | None) -> Column:
     return a if n is None else F.slice(a, 1, n)
 
@@ -126,7 +131,7 @@ def _tag(block: Column, names: str) -> Column:
 
 
 def _either(block: Column, *names: str) -> Column:
-    found = [F.nullif(_tag(block, n), F.lit("")) for n in names]
+    found = [_some(_tag(block, n)) for n in names]
     return F.coalesce(*found, F.lit(""))
 
 
@@ -134,7 +139,7 @@ def feed(body: Column, most: int | None = None) -> Column:
     """PAR-03: the feed's title and its items; not ok with a DTD or without items."""
     blocks = F.regexp_extract_all(body, F.lit(r"(?is)<(item|entry)\b[^>]*>(.*?)</\1>"), F.lit(2))
     href = lambda x: F.regexp_extract(x, r"(?is)<link\b[^>]*href\s*=\s*[\"']([^\"']+)", 1)
-    item = lambda x: F.struct(_tag(x, "title").alias("title"), F.coalesce(F.nullif(_tag(x, "link"), F.lit("")), href(x)).alias("link"), _either(x, "pubDate", "updated", "published").alias("published"), _either(x, "description", "summary", "content").alias("summary"))
+    item = lambda x: F.struct(_tag(x, "title").alias("title"), F.coalesce(_some(_tag(x, "link")), href(x)).alias("link"), _either(x, "pubDate", "updated", "published").alias("published"), _either(x, "description", "summary", "content").alias("summary"))
     danger = F.substring(body, 1, 4096).rlike(_DTD)
     why = F.when(body.isNull(), "no body").when(danger, "DTD").when(F.size(blocks) == 0, "no items").otherwise("")
     return F.struct((why == "").alias("ok"), why.alias("error"), _tag(body, "title").alias("feed_title"), F.when(why == "", F.transform(_most(blocks, most), item)).alias("items"))
@@ -199,7 +204,7 @@ def json_doc(c: Column, most: int | None = None) -> Column:
     v = F.try_parse_json(c)
     get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
     ld = F.try_variant_get(v, "$['@context']", "variant").isNotNull()
-    title = F.coalesce(F.nullif(get("name"), F.lit("")), get("headline"), F.lit(""))
+    title = F.coalesce(_some(get("name")), get("headline"), F.lit(""))
     return F.struct(v.isNotNull().alias("ok"), F.when(v.isNull(), "not JSON").otherwise("").alias("error"), F.when(ld, "json_ld").otherwise("json").alias("kind"), title.alias("title"), _cut(F.to_json(v), most).alias("text"))
 
 
@@ -217,9 +222,9 @@ def embedded_urls(c: Column, depth: int | None = 8) -> Column:
     return run(c)
 
 
-def card(page: Column, unsafe) -> Column:
+def card(page: Column) -> Column:
     """PAR-07, SUP-20: what a page says of itself: og and twitter fields, description, language, canonical address, JSON-LD
-    types; addresses that `unsafe` (a column builder) refuses are dropped and listed."""
+    types. Its addresses are as they stand; `judged_cards` judges them."""
     m = meta(page)
     first = lambda *keys: F.trim(F.regexp_replace(F.coalesce(*[m[k] for k in keys], F.lit("")), r"\s+", " "))
     title = F.trim(F.regexp_replace(F.coalesce(m["og:title"], m["twitter:title"], entities(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))), r"\s+", " "))
@@ -228,14 +233,34 @@ def card(page: Column, unsafe) -> Column:
     lang = F.trim(F.regexp_replace(F.regexp_extract(page, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([^\"'\s>]+)", 1), r"\s+", " "))
     kinds = F.transform(json_ld(page), lambda x: F.coalesce(F.get_json_object(x, "$.@type"), F.lit("")))
     kinds = F.array_distinct(F.filter(F.flatten(F.transform(kinds, lambda x: F.when(F.startswith(x, F.lit("[")), F.from_json(x, "array<string>")).otherwise(F.array(x)))), lambda x: F.trim(x) != ""))
-    page_url, image = F.coalesce(F.nullif(first("og:url"), F.lit("")), canonical), first("og:image", "twitter:image")
-    wanted = F.array_distinct(F.filter(F.array(page_url, canonical), lambda x: x != ""))
-    own = F.coalesce(F.when((page_url != "") & ~unsafe(page_url), page_url), F.when((canonical != "") & ~unsafe(canonical), canonical), F.lit(""))
-    picture = F.when((image != "") & ~unsafe(image), image).otherwise("")
-    dropped = F.array_compact(F.array(F.when((page_url != "") & unsafe(page_url), page_url), F.when((canonical != "") & (canonical != page_url) & unsafe(canonical), canonical), F.when((image != "") & unsafe(image), image)))
+    page_url, image = F.coalesce(_some(first("og:url")), canonical), first("og:image", "twitter:image")
     desc, site = first("og:description", "twitter:description", "description"), first("og:site_name")
     empty = page.isNull() | (F.concat(title, desc, image, site, lang, canonical) == "") & (F.size(kinds) == 0)
-    return F.struct((~empty).alias("ok"), F.when(empty, "no fields").otherwise("").alias("error"), title.alias("title"), desc.alias("description"), site.alias("site_name"), lang.alias("lang"), own.alias("canonical"), picture.alias("image"), kinds.alias("ld_types"), F.array_sort(F.map_keys(m)).alias("meta_fields"), F.when(F.size(wanted) >= 0, dropped).alias("dropped"))
+    return F.struct((~empty).alias("ok"), F.when(empty, "no fields").otherwise("").alias("error"), title.alias("title"), desc.alias("description"), site.alias("site_name"), lang.alias("lang"), page_url.alias("page_url"), canonical.alias("canonical"), image.alias("image"), kinds.alias("ld_types"), F.array_sort(F.map_keys(m)).alias("meta_fields"))
+
+
+def _flagged(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        bad = [None if a is None else [unsafe_one(u) for u in a] for a in b.column("_urls").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bad, pa.list_(pa.bool_()))], names=[*b.schema.names, "_bad"])
+
+
+def judged_cards(cards: DataFrame, column: str) -> DataFrame:
+    """Rows with a `card`: canonical and image only if they are safe, the others listed in `dropped`. The page's own address
+    (og:url) comes before the canonical one."""
+    c = lambda n: F.col(f"{column}.{n}")
+    # the rows go through an Arrow batch as they are: a UDF over expressions with lambdas is not always taken out of them
+    x = cards.withColumn("_urls", F.array(c("page_url"), c("canonical"), c("image")))
+    x = x.mapInArrow(_flagged, T.StructType([*x.schema.fields, T.StructField("_bad", T.ArrayType(T.BooleanType()))])).drop("_urls")
+    ok = lambda n, i: (c(n) != "") & ~F.col("_bad")[i]
+    own = F.when(ok("page_url", 0), c("page_url")).when(ok("canonical", 1), c("canonical")).otherwise("")
+    refused = lambda n, i, here: F.when(here & (c(n) != "") & F.col("_bad")[i], F.array(c(n))).otherwise(F.array().cast("array<string>"))
+    dropped = F.concat(refused("page_url", 0, F.lit(True)), refused("canonical", 1, c("canonical") != c("page_url")), refused("image", 2, F.lit(True)))
+    fields = [c(f).alias(f) for f in ("ok", "error", "title", "description", "site_name", "lang")]
+    out = F.struct(*fields, own.alias("canonical"), F.when(ok("image", 2), c("image")).otherwise("").alias("image"), c("ld_types").alias("ld_types"), c("meta_fields").alias("meta_fields"), dropped.alias("dropped"))
+    return x.withColumn(column, out).drop("_bad")
 
 
 def playlist(text: Column, base: Column) -> Column:
@@ -300,7 +325,7 @@ def time_of(fields: Column) -> Column:
     """DT-02: of a map of strings, the first time key (any case) that is not empty, as epoch seconds; later keys are not
     tried if it does not parse."""
     low = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.map_keys(fields), lambda k: F.lower(k))), lambda k: F.struct(k, F.element_at(F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == k), -1)["value"])))
-    return epoch(F.coalesce(*[F.nullif(low[k], F.lit("")) for k in TIME_KEYS]))
+    return epoch(F.coalesce(*[_some(low[k]) for k in TIME_KEYS]))
 
 
 def normalized(url: Column, title: Column, text: Column, fields: Column, author: Column, site: Column, tags: Column, links_: Column, parser: Column, version: Column, fmt: Column, caps: tuple[int | None, ...] = (500, None, 200, 20_000)) -> Column:
@@ -335,7 +360,7 @@ def encoding(content_type: Column, body: Column) -> Column:
     for h, name in MARKS.items():
         mark = F.coalesce(mark, F.when(F.startswith(hexed, F.lit(h)), name))
     own = F.lower(F.regexp_extract(F.decode(F.substring(body, 1, 4096), "ISO-8859-1"), r"(?is)<meta\b[^>]*charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", 1))
-    return F.coalesce(F.nullif(said, F.lit("")), mark, F.nullif(own, F.lit("")), F.lit("utf-8"))
+    return F.coalesce(_some(said), mark, _some(own), F.lit("utf-8"))
 
 
 @F.pandas_udf(T.StringType())

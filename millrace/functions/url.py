@@ -122,7 +122,8 @@ def same_site(host_: Column, base: Column) -> Column:
     return (host_ == base) | F.endswith(host_, F.concat(F.lit("."), base))
 
 
-def _unsafe_one(url: str | None) -> bool:
+def unsafe_one(url: str | None) -> bool:
+    """`unsafe` of one address."""
     try:
         p = urlsplit((url or "").strip())
         name = (p.hostname or "").split("%")[0].rstrip(".").lower()
@@ -150,7 +151,7 @@ def _unsafe_one(url: str | None) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def _unsafe_udf(url: pd.Series) -> pd.Series:
-    return pd.Series([_unsafe_one(u) for u in url])
+    return pd.Series([unsafe_one(u) for u in url])
 
 
 def unsafe(c: Column) -> Column:
@@ -165,13 +166,14 @@ def retry_after(c: Column, now: Column, most: float = 300.0) -> Column:
     """URL-10: seconds of a Retry-After header, digits or an HTTP date; null for anything else."""
     x = F.trim(c)
     date = F.try_to_timestamp(F.regexp_replace(x, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
-    secs = F.when(x.rlike(r"^\d{1,15}$"), x.try_cast("double")).otherwise(F.greatest(F.lit(0.0), date.cast("double") - now))
-    return F.least(F.lit(most), secs)
+    left = F.when(date.isNotNull(), F.greatest(F.lit(0.0), date.cast("double") - now))  # greatest and least skip nulls
+    secs = F.when(x.rlike(r"^\d{1,15}$"), x.try_cast("double")).otherwise(left)
+    return F.when(secs.isNotNull(), F.least(F.lit(most), secs))
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _unsafe_each_udf(urls: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None else [_unsafe_one(u) for u in a] for a in urls])
+    return pd.Series([None if a is None else [unsafe_one(u) for u in a] for a in urls])
 
 
 def unsafe_each(urls: Column) -> Column:

@@ -111,7 +111,7 @@ def probe(headers: Column, status: Column) -> Column:
     Content-Length; resumable with status 206 or Accept-Ranges: bytes."""
     whole = F.regexp_extract(F.coalesce(headers["content-range"], F.lit("")), r"/(\d+)\s*$", 1)
     size = F.regexp_extract(F.coalesce(headers["content-length"], F.lit("")), r"^\s*(\d+)\s*$", 1)
-    total = F.coalesce(F.nullif(whole, F.lit("")), F.nullif(size, F.lit(""))).try_cast("long")
+    total = F.coalesce(F.when(whole != "", whole), F.when(size != "", size)).try_cast("long")
     return F.struct(total.alias("total"), ((status == 206) | (F.lower(F.trim(F.coalesce(headers["accept-ranges"], F.lit("")))) == "bytes")).alias("resumable"))
 
 

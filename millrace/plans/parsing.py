@@ -66,7 +66,7 @@ def page_parse(spark, d):
 @query(f"""WITH {_R}, c AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') AS t FROM r) SELECT url_hash, t AS title, url_hash AS description, 'mill' AS site_name, 'xx' AS lang, url AS canonical, CASE WHEN true THEN 'Article|Thing|Page' END AS ld_types FROM c""")
 def page_card(spark, d):
     """PAR-07, SUP-20: what each page says of itself."""
-    c = _page(_records(spark, d)).select("url_hash", ps.card(F.col("body"), ur.unsafe).alias("c"))
+    c = ps.judged_cards(_page(_records(spark, d)).select("url_hash", ps.card(F.col("body")).alias("c")), "c")
     return c.select("url_hash", "c.title", "c.description", "c.site_name", "c.lang", "c.canonical", F.array_join("c.ld_types", "|").alias("ld_types"))
 
 

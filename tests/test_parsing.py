@@ -34,7 +34,8 @@ def test_html(spark):
 
 
 def test_card(spark):
-    c = one(spark, ps.card(F.col("x"), ur.unsafe), PAGE, "", None, "<title>only</title>")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate((PAGE, "", None, "<title>only</title>"))], "i int, x string")
+    c = [r["c"] for r in ps.judged_cards(df.select("i", ps.card(F.col("x")).alias("c")), "c").orderBy("i").collect()]
     assert (c[0]["title"], c[0]["lang"], c[0]["canonical"], c[0]["image"], c[0]["ld_types"], c[0]["dropped"]) == ("Card", "en-GB", "https://h.test/c", "", ["Article", "Thing"], ["http://10.0.0.1/i.png"])
     assert [x["ok"] for x in c] == [True, False, False, True]
 
