@@ -16,6 +16,7 @@ compared in blocks spread over tasks, without a cap.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -26,8 +27,10 @@ from .texts import jaccard, mix, runs_of, signature, tokens
 
 #: Levels walked at once, largest bucket compared outright, greatest depth, wanted recall at the threshold.
 FIRST, SMALL, DEEPEST, RECALL = 2, 128, 8, 0.9999
-_SALTS = mix(np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_ODD = np.uint64(0x9FB21C651E98DF25)
+#: Odd multipliers of 32 bits: products of that width go through wide registers.
+_SALTS = (mix(np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_NODE = np.uint64(0x9FB21C651E98DF25)
+_ODD, _ODD2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def repeats(recall: float = RECALL, levels: int = FIRST) -> int:
@@ -49,29 +52,36 @@ def sketch_bits(least: float) -> int:
     return round(128 * p - 6 * math.sqrt(128 * p * (1 - p)))
 
 
+def _high(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
 def children(nodes: np.ndarray, tokens_: np.ndarray, least: float = LEAST) -> np.ndarray:
     """Keys of all children of the nodes that the set chooses."""
     if not len(nodes) or not len(tokens_):
         return np.empty(0, np.uint64)
-    h = nodes[:, None] ^ tokens_[None, :]  # both are well mixed already
-    h *= _ODD
-    h ^= h >> np.uint64(32)
+    h = _high(nodes)[:, None] ^ _high(tokens_)[None, :]  # both are well mixed already
     h *= _ODD
+    h ^= h >> np.uint32(16)
+    h *= _ODD2
     p = 1.0 / (least * len(tokens_))
-    limit = np.uint64(min(p, 0.9999999) * 2.0**64) if p < 1 else np.uint64(2**64 - 1)
-    r, c = np.nonzero(h <= limit)
-    return mix(nodes[r] * np.uint64(3) + mix(tokens_[c] + np.uint64(17)))
+    limit = np.uint32(min(2**32 - 1, p * 2.0**32))
+    at = np.flatnonzero(h.ravel() <= limit)
+    r = at // len(tokens_)
+    c = at - r * len(tokens_)
+    return mix(nodes[r] * _NODE ^ tokens_[c])
 
 
 def sketch(tokens_: np.ndarray) -> tuple[int, int]:
     """128 bits: one bit of the minimum under each of 128 multiplicative hashes (the tokens are hashes themselves)."""
     if not len(tokens_):
         return 0, 0
-    low = (tokens_[None, :] * _SALTS[:, None]).min(axis=1)
-    v = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    low = (tokens_.astype(np.uint32)[:, None] * _SALTS[None, :]).min(axis=0)
+    v = np.packbits((mix(low.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
     return int(v[0]), int(v[1])
 
 
+@lru_cache(maxsize=16)
 def roots(first: int = 0, last: int | None = None) -> np.ndarray:
     """Roots of the runs after `first` up to `last`, by default those that all sets walk."""
     return mix(np.arange(first + 1, (runs_to(FIRST) if last is None else last) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -22,12 +22,11 @@ from ..runtime import table
 from . import labelled
 from .furniture import ACTION_SET, CHOICE_SET, COPYRIGHT, LABEL_SET, NOTICE_PIECES, SIDE_SET
 
-_SEP = re.compile(r"\s+[|·»/>›•–—-]\s+|\s*\|\s*|\s{2,}|(?<=[.!。])\s*(?=\S)")
+_SEP = re.compile(r"[.!。|]|\s[·»/>›•–—-](?=\s)|\s\s")
 _BARS = re.compile(r"\s[|·»/>›]\s|\|| {2,}")
 _WIDE = re.compile(r"\s{3,}")
 _BAR, _CUT, _DIGIT = re.compile(r"[|·»/>›]|  "), re.compile(r"[.!。]\s*\S|\s[-–—•]\s"), re.compile(r"\d")
 _NUM = re.compile(r"\d+(?:[.,-]\d+)*")
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _HAN = re.compile("[㐀-鿿]")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦-]|\d+[.)])\s+\S")
 _END = re.compile(r"[.!?;:…。！？；：]['\")»”]?\s*$")
@@ -36,47 +35,75 @@ NAMES = ("words", "links", "ends", "bullet", "column", "run", "words_before", "l
 #: Those that come from other lines than the block itself.
 NEIGHBOURS = NAMES[4:]
 _LINKS = LABEL_SET | ACTION_SET | CHOICE_SET
+#: Some piece of a notice, by what they begin with.
+_NOTICE = re.compile("|".join(map(re.escape, NOTICE_PIECES)))
 #: Words of a usual entry of a side column, and of a link label between separators.
 SIDE_WORDS, LABEL_WORDS = 9, 4
 
 
+#: Letters of the longest label, with room for the numbers beside it.
+_LONGEST = max(map(len, _LINKS))
+_NUMBERS = " 0123456789().,:;-–—•·!|»/>›。…"
+_DASHES = (" - ", " – ", " — ", " • ", " · ", " » ", " / ", " > ", " › ", "  ", "\t", "|")
+
+
 def _count(s: str) -> float:
+    """Words between blanks, two Han characters counting as one."""
+    if s.isascii():
+        return len(s.split())
     han = len(_HAN.findall(s))
-    return len(_WORDS.findall(_HAN.sub(" ", s))) + han / 2 if han else len(_WORDS.findall(s))
+    return len(_HAN.sub(" ", s).split()) + han / 2 if han else len(s.split())
+
+
+def _short(s: str) -> bool:
+    """Whether it may be a label: all numbers in labels stand at their ends."""
+    return len(s.strip(_NUMBERS)) <= _LONGEST
 
 
 def _pieces(line: str) -> list[str]:
     return [p for p in (x.strip(" .!:,;。|·»/>›•-") for x in _SEP.split(line.strip().casefold())) if p]
 
 
+def _label_pieces(line: str) -> list[str]:
+    """Those of `_pieces` that may be labels: sentences that are too long and have no separator in them are left out."""
+    parts = line.replace("!", ".").replace("。", ".").split(".")
+    return [q for p in parts if _short(p) or any([d in p for d in _DASHES]) for q in _pieces(p)]
+
+
 def _own(line: str) -> tuple:
     """(words, links, ends, bullet, title) and (bars, usual label) of a line of any length, by itself."""
-    if _WIDE.search(line):  # so that no pattern goes over long blanks again and again
+    joined = " ".join(line.split())
+    if len(line) - len(joined) > 1 and _WIDE.search(line):  # so that no pattern goes over long blanks again and again
         line = _WIDE.sub(lambda m: "  " if "  " in m.group() else m.group()[:2], line)
-    low = " ".join(line.split()).casefold()
+    low = joined.casefold()
     plain = low.rstrip(" .!:。…")
-    numbered = _NUM.sub("#", plain) if _DIGIT.search(plain) else plain
     bars = len(_BARS.findall(line.strip())) if _BAR.search(line) else 0
-    words = _count(line)
-    named = numbered in LABEL_SET or numbered.replace("(#)", "").strip() in LABEL_SET or numbered in ACTION_SET or bool(COPYRIGHT.match(line))
+    named = bool(COPYRIGHT.match(line))
+    if not named and _short(plain):
+        numbered = _NUM.sub("#", plain) if _DIGIT.search(plain) else plain
+        named = numbered in LABEL_SET or numbered.replace("(#)", "").strip() in LABEL_SET or numbered in ACTION_SET
     if not named and ":" in plain:  # an offer with its ways: share: mail, print
         head, _, tail = plain.partition(":")
         named = head in ACTION_SET and all(x.strip() in ACTION_SET for x in tail.split(","))
-    hits = sum([x in low for x in NOTICE_PIECES])
+    hits = sum([x in low for x in NOTICE_PIECES]) if _NOTICE.search(low) else 0
     links = float(named)
     if not named and (bars or hits or _CUT.search(line)):
-        pieces = _pieces(line)
-        bare = [_NUM.sub("", p).replace("()", "").strip() for p in pieces] if _DIGIT.search(line) or "()" in line else pieces
-        sizes = [_count(q) or 0.5 for q in bare]
-        total = sum(n for q, n in zip(bare, sizes) if q)  # a number says nothing
-        labels = sum(n for q, n in zip(bare, sizes) if q in _LINKS)
-        chain = sum(n for q, n in zip(bare, sizes) if q and n <= LABEL_WORDS) if bars >= 2 or bars and labels else 0.0
-        links = max(labels, chain) / total if total else 0.0
+        pieces = _pieces(line) if bars or hits else _label_pieces(line)
+        bare = [_NUM.sub("", p).replace("()", "").strip() if _DIGIT.search(p) or "()" in p else p for p in pieces]
+        if bars >= 2 or not _LINKS.isdisjoint(bare):
+            if not bars and not hits:  # all pieces count for the share
+                pieces = _pieces(line)
+                bare = [_NUM.sub("", p).replace("()", "").strip() for p in pieces]
+            sizes = [_count(q) or 0.5 for q in bare]
+            total = sum(n for q, n in zip(bare, sizes) if q)  # a number says nothing
+            labels = sum(n for q, n in zip(bare, sizes) if q in _LINKS)
+            chain = sum(n for q, n in zip(bare, sizes) if q and n <= LABEL_WORDS) if bars else 0.0
+            links = max(labels, chain) / total if total else 0.0
         if bars and len(pieces) > 1 and all(_NUM.sub("#", p) in ACTION_SET for p in pieces):
             links = 1.0
         if hits + (sum(q in CHOICE_SET for q in bare) if hits else 0) >= 2:
             links = 1.0
-    return (words, links, float(bool(_END.search(line))), float(bool(_BULLET.match(line))), float(plain in SIDE_SET), bars, float(named))
+    return (_count(joined), links, float(bool(_END.search(line))), float(bool(_BULLET.match(line))), float(plain in SIDE_SET), bars, float(named))
 
 
 #: Pages of a site repeat their lines; those that fill no memory are kept.

@@ -78,39 +78,66 @@ def _phrases(*texts: str) -> list[str]:
     return sorted({" ".join(x.split()).casefold() for t in texts for x in t.split(";") if x.strip()}, key=lambda x: (-len(x), x))
 
 
-_HAN = "一-鿿"
+_PLAIN = frozenset(_phrases(FILLER, ERRORS, SCRIPTS))
+_BESIDE = frozenset(_phrases(BESIDE))
+_LETTER_RUN = re.compile(r"[^\W\d_]+")
+_BESIDE_LETTERS = {w: sum(map(len, _LETTER_RUN.findall(w))) for w in _BESIDE}
+_MARKS = ".,;:!?"
 
 
-def _pattern(words: list[str]) -> re.Pattern:
-    """Any of the phrases, not inside a longer word; Han text has no such borders."""
+@lru_cache(maxsize=1)
+def _finder():
+    """All phrases at once."""
+    import ahocorasick
 
-    def alone(w: str) -> str:
-        before = "" if re.match(f"[{_HAN}]", w) else f"(?<![^\\W{_HAN}])"
-        return before + re.escape(w) + ("" if re.search(f"[{_HAN}]$", w) else f"(?![^\\W{_HAN}])")
+    out = ahocorasick.Automaton()
+    for w in _PLAIN | _BESIDE:
+        out.add_word(w, w)
+    out.make_automaton()
+    return out
 
-    return re.compile("|".join(map(alone, words)))
 
+def _han(c: str) -> bool:
+    return "一" <= c <= "鿿"
 
-_WORDS = _phrases(FILLER, ERRORS, SCRIPTS)
-_BESIDES = _phrases(BESIDE)
-_LETTER_RUN = re.compile(r"[^\W\d_]+")
-_BESIDE_LETTERS = {w: sum(map(len, _LETTER_RUN.findall(w))) for w in _BESIDES}
+
+def _inside(c: str) -> bool:
+    return (c.isalnum() or c == "_") and not _han(c)
+
+
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """The piece is not inside a longer word; Han text has no such borders."""
+    return not (start and _inside(text[start - 1]) and not _han(text[start])) and not (end < len(text) and _inside(text[end]) and not _han(text[end - 1]))
+
+
+def _blind(low: str) -> int:
+    """Words of blind text, those beside marks too."""
+    for mark in _MARKS:
+        low = low.replace(mark, " ")
+    words = low.split()
+    return 0 if LOREM.isdisjoint(words) else sum(map(LOREM.__contains__, words))
 
 
-@lru_cache(maxsize=4096)
-def _any_of(words: tuple[str, ...]) -> re.Pattern:
-    return _pattern(list(words))
+def _blanked(text: str, words: frozenset[str]) -> tuple[str, int]:
+    """The text with the phrases blanked, the first and longest at each place, and how many there were."""
+    spans = sorted((end + 1 - len(w), -len(w)) for end, w in _finder().iter(text) if w in words and _stands_alone(text, end + 1 - len(w), end + 1))
+    out, at, n = [], 0, 0
+    for start, size in spans:
+        if start >= at:
+            out += [text[at:start], " "]
+            at, n = start - size, n + 1
+    return "".join([*out, text[at:]]) if n else text, n
 
 
-_HINT = re.compile(r"[{%\[@_<#]")
+_HINT, _DIGIT = re.compile(r"[{%\[@_<#]"), re.compile(r"\d+")
 _SENTENCE = re.compile(r"\n|(?<=[.!?;。！？；…])(?=\s|[一-鿿])")
 _LETTERS = re.compile(r"[^\W\d_]")
 _IDS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
-_TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+|\{\}|#")
+_TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+|\{\}")
 
 
-def _share(sentence: str, plain: re.Pattern | None, beside: re.Pattern | None) -> tuple[float, float]:
-    """Letters in the sentence, and how many of them plain residue covers. The patterns hold the phrases of the core."""
+def _share(sentence: str) -> tuple[float, float]:
+    """Letters in the sentence, and how many of them plain residue covers."""
     if _HINT.search(sentence) and PLACEHOLDER.search(sentence):
         n = max(1.0, len(_LETTERS.findall(sentence)))
         return n, n
@@ -123,34 +150,32 @@ def _share(sentence: str, plain: re.Pattern | None, beside: re.Pattern | None) -
         hit = sum(w.strip(".,;:!?") in LOREM for w in words)
         if hit >= 0.7 * len(words):
             return total, total
-    rest, n = plain.subn(" ", low) if plain else (low, 0)
+    rest, n = _blanked(low, _PLAIN)
     if not n:
         return total, 0.0
-    if beside:
-        rest = beside.sub(" ", rest)
-    left = len(_LETTERS.findall(rest))
+    left = len(_LETTERS.findall(_blanked(rest, _BESIDE)[0]))
     return (total, total) if left <= 0.3 * total else (total, 0.0)
 
 
 def trust(core: str) -> float:
     """Share of a core that is plain residue; sentences that only go with one count where one is there."""
-    low = _IDS.sub(" ", core.casefold())
+    low = core.casefold()
+    if _DIGIT.search(low):
+        low = _DIGIT.sub(" ", low)  # numbers are blanks to the patterns below; so they may stand between two words here
     # each test is met by every core of which the full count below can accept a sentence, at any length
-    plain, beside = tuple([w for w in _WORDS if w in low]), tuple([w for w in _BESIDES if w in low])
-    letters = _LETTER_RUN.findall(low)
-    if not plain and not (_HINT.search(core) and PLACEHOLDER.search(core)) and sum([w in LOREM for w in letters]) < 3:
-        if sum(low.count(w) * _BESIDE_LETTERS[w] for w in beside) < 0.7 * sum(map(len, letters)):
+    found = [w for end, w in _finder().iter(low) if _stands_alone(low, end + 1 - len(w), end + 1)]
+    if _PLAIN.isdisjoint(found) and not (_HINT.search(core) and PLACEHOLDER.search(core)) and _blind(low) < 3:
+        if sum(_BESIDE_LETTERS.get(w, 0) for w in found) < 0.7 * max(1, sum(map(len, _LETTER_RUN.findall(low))) if found else 1):
             return 0.0
-    of_plain, of_beside = _any_of(plain) if plain else None, _any_of(beside) if beside else None
     total = good = around = 0.0
     for s in _SENTENCE.split(core):
         if not s.strip():
             continue
-        a, b = _share(s, of_plain, of_beside)
+        a, b = _share(s)
         total += a
         good += b
-        if not b and a and of_beside:
-            left = len(_LETTERS.findall(of_beside.sub(" ", _IDS.sub(" ", s.casefold()))))
+        if not b and a:
+            left = len(_LETTERS.findall(_blanked(_IDS.sub(" ", s.casefold()), _BESIDE)[0]))
             if left <= 0.25 * a:
                 around += a
     if not total:
@@ -159,8 +184,9 @@ def trust(core: str) -> float:
 
 
 def shape(core: str) -> list[str]:
-    """Words of a core for comparison: placeholders, numbers and ids are alike."""
-    return _TOKEN.findall(_IDS.sub("#", PLACEHOLDER.sub("{}", core) if _HINT.search(core) else core).casefold())
+    """Words of a core for comparison: placeholders are alike, and so are numbers and words with a number in them."""
+    words = _TOKEN.findall((PLACEHOLDER.sub(" {} ", core) if _HINT.search(core) else core).casefold())
+    return [w if w.isalpha() or w == "{}" else "#" for w in words]
 
 
 def core_runs(cores: list[str]) -> list[np.ndarray]:
