@@ -158,7 +158,7 @@ def url_canonical(spark, d):
 
 @query("SELECT DISTINCT normalized_url AS url, false AS unsafe FROM frontier")
 def url_unsafe(spark, d):
-    """FLT-06: no address of the invented web is private."""
+    """No address of the frontier is private; `url_unsafe_hosts` has the cases that are."""
     u = table(spark, d, "frontier").select(F.col("normalized_url").alias("url")).distinct()
     return u.select("url", ur.unsafe(F.col("url")).alias("unsafe"))
 
@@ -315,7 +315,7 @@ def _route_sql() -> str:
 
 @query(f"WITH {_EVID} SELECT id, {_route_sql()} AS decision FROM e")
 def evidence_route(spark, d):
-    """STM-01: every evidence row through the rule table, budgets left open."""
+    """Every evidence row through the rule table, budgets left open; `evidence_rules` has its conditions and SQL of its own."""
     r = routing.route(F.coalesce(F.col("stage"), F.lit("")), F.coalesce(F.col("signal"), F.lit("")))
     return _evidence(spark, d).select("id", r.alias("r")).select("id", F.concat_ws("|", "r.rule", "r.action", "r.target").alias("decision"))
 
@@ -421,13 +421,13 @@ def event_sessions(spark, d):
 
 @query("SELECT event_id, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def event_props(spark, d):
-    """JSON-01, one level."""
+    """One number of the events' properties; `json_leaves` flattens whole documents."""
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
 @query(f"WITH {_RECORDS}, p AS (SELECT url_hash, data_json->>'$.published_at' AS p FROM extracted WHERE json_valid(data_json)) SELECT DISTINCT url_hash, round(TRY_CAST(p AS DOUBLE), 3) AS published_at FROM p")
 def record_times(spark, d):
-    """DT-02, MAP-02: publication times of readable records."""
+    """Publication times as the records have them; `record_normal` has other keys and forms."""
     v = table(spark, d, "extracted").select("url_hash", F.try_parse_json("data_json").alias("v")).filter("v is not null")
     return v.select("url_hash", F.round(F.try_variant_get("v", "$.published_at", "double"), 3).alias("published_at")).distinct()
 

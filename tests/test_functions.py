@@ -59,16 +59,6 @@ def test_formats(spark):
     assert [r[0] for r in df.select(rec.file_format(F.col("u"), F.col("m"), F.col("b"))["name"]).collect()] == ["pdf", "html", "png", "rss", "json", "unknown", "text"]
 
 
-def test_html_and_feed(spark):
-    page = '<html><head><title> A  b </title><meta name="k" content="1"><meta property="k" content="2"></head><body><a href="/x#f">l</a><a href="mailto:q">m</a><p>T</p></body></html>'
-    h = spark.createDataFrame([(page,)], "x string").select(rec.html(F.col("x")).alias("h")).select("h.*").first()
-    assert (h["title"], h["links"], h["meta"]) == ("A b", ["/x"], {"k": "1"})
-    feed = "<rss><item><title>t</title><link>http://a/</link><pubDate>d</pubDate><description><![CDATA[<b>s</b>]]></description></item><item><title>u</title></item></rss>"
-    items = one(spark, rec.feed_items(F.col("x")), feed, "<!DOCTYPE x><rss/>")
-    assert [tuple(i) for i in items[0]] == [("t", "http://a/", "d", "s"), ("u", "", "", "")] and items[1] is None
-    assert one(spark, rec.sitemap(F.col("x"))["urls"], "<urlset><url><loc> http://a/?x&amp;y </loc></url></urlset>") == [["http://a/?x&y"]]
-
-
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /\n\nUser-agent: mill\nDisallow: /a\nAllow: /a/b\nDisallow: /*.x$\nDisallow:"
     rules = robots.parse(spark.createDataFrame([("h", text)], "host string, t string"), "host", "t")
