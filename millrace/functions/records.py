@@ -41,9 +41,9 @@ def signal(status: Column, mime: Column, size: Column) -> Column:
     )
 
 
-def facts(c: Column) -> Column:
-    """JSON-04: the facts as a variant; text that does not parse under `__raw__`, at most 500 characters."""
-    raw = F.to_variant_object(F.create_map(F.lit("__raw__"), F.substring(c, 1, 500)))
+def facts(c: Column, most: int | None = 500) -> Column:
+    """JSON-04: the facts as a variant; text that does not parse under `__raw__`, at most `most` characters (None: all)."""
+    raw = F.to_variant_object(F.create_map(F.lit("__raw__"), c if most is None else F.substring(c, 1, most)))
     return F.coalesce(F.try_parse_json(c), raw)
 
 

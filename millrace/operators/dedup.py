@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import hamming
 
@@ -54,10 +54,12 @@ def verdicts(docs: DataFrame, key: str, chash: str, sim: str, far: int = FAR) ->
     both = pairs.select(F.col("sa").alias("s"), F.col("sb").alias("o")).union(pairs.select("sb", "sa")).distinct()
     both = both.union(bysim.select("s", F.col("s").alias("o")))
     near = both.join(bysim.select(F.col("s").alias("o"), "least"), "o").groupBy("s").agg(F.min("least").alias("near"))
-    seen = Window.partitionBy(chash).orderBy(key)
-    x = docs.withColumn("rn", F.row_number().over(seen))
+    # the first of a hash by a partial aggregate: a hash that a third of all rows share is sorted nowhere
+    first = docs.groupBy(F.col(chash).alias("_h")).agg(F.min(key).alias("_first"))
+    x = docs.join(first, docs[chash] == first["_h"])
+    again = F.col(key) != F.col("_first")
     return x.join(near, x[sim] == near["s"], "left").select(
         key,
-        F.when(F.col("rn") > 1, "unchanged").otherwise("new").alias("state"),
-        F.when((F.col("rn") == 1) & (F.col("near.k") < F.col(key)), F.col("near.h")).alias("duplicate_of"),
+        F.when(again, "unchanged").otherwise("new").alias("state"),
+        F.when(~again & (F.col("near.k") < F.col(key)), F.col("near.h")).alias("duplicate_of"),
     )

@@ -58,6 +58,8 @@ def distinct_and_first(rows: DataFrame, key: Column, member: Column, order: Colu
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     o = order.cast("double")
     flat = rows.select(key.alias("k"), member.alias("m"), F.when(~F.isnan(o), o).alias("o")).filter("k is not null and m is not null")
+    # a member given again and again is one row from here on, brought together by partial aggregates
+    flat = flat.groupBy("k", "m").agg(F.min("o").alias("o"))
     ordered = flat.repartitionByRange(parts, "k", "m").sortWithinPartitions("k", "m")
     ranged = scratch.put(ordered.mapInArrow(_number, "part long, k string, m string, o double, r long, fresh long"), "sorted")
     held = ranged.groupBy("part", "k").agg(F.count("*").alias("rows"))

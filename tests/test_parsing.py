@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import parse as ps, redact, url as ur
-from millrace.operators import capture, cookies as ck, discovery as dv, metrics as mt, reparse as rp, runs, tasks as tk, webcache as wc
+from millrace.operators import capture, cookies as ck, dedup, discovery as dv, metrics as mt, reparse as rp, runs, search, tasks as tk, webcache as wc
 from millrace.sources import config, files
 
 
@@ -252,3 +252,24 @@ def test_small_pieces(spark):
     assert spark.range(1).select(files.missing(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")))).first()[0] == ["a"]
     c = spark.createDataFrame([(1, 0)], "new long, failed long")
     assert tk.bumped(c, "failed", 3).first()["failed"] == 3
+
+
+def test_search_index(spark, tmp_path):
+    """The stored index ranks as the one computed at once, through batches, replacements, removals and another session."""
+    texts = {f"d{i}": f"copper library number {i} " + "each copper " * (i % 4) + "中文字典 " * (i % 3) for i in range(40)} | {"e": "", "n": None}
+    df = lambda d: spark.createDataFrame(list(d.items()), "id string, t string")
+    x = search.SearchIndex(spark, str(tmp_path / "i"))
+    x.put(df({k: "old words" for k in list(texts)[:20]}), "id", "t")
+    x.put(df(texts | {"gone": "copper library each"}).withColumn("key", F.lit(1)), "id", "t")
+    x.remove(df({"gone": ""}), "id")
+    y = search.SearchIndex(spark.newSession(), str(tmp_path / "i"))
+    whole = search.index(df(texts), "id", "t")
+    for q in ("copper", "copper-library each", "中文", "old", "", "number 7"):
+        assert [tuple(r) for r in y.search(q).collect()] == [tuple(r) for r in search.search(whole, "id", q).collect()], q
+    assert search.SearchIndex(spark, str(tmp_path / "none")).search("copper").count() == 0
+
+
+def test_verdicts_by_first_of_a_hash(spark):
+    rows = [(i, "same" if i % 3 else f"h{i}", 0 if i % 3 else 1 << i) for i in range(1, 30)]
+    got = {r["k"]: r["state"] for r in dedup.verdicts(spark.createDataFrame(rows, "k long, h string, s long"), "k", "h", "s").collect()}
+    assert got == {k: "unchanged" if h == "same" and k != 1 else "new" for k, h, _ in rows}
