@@ -27,6 +27,7 @@ from .texts import jaccard, mix, runs_of, signature, tokens
 
 #: Levels walked at once, largest bucket compared outright, greatest depth, wanted recall at the threshold.
 FIRST, SMALL, DEEPEST, RECALL = 2, 128, 8, 0.9999
+SIGMAS = 4.5
 #: Odd multipliers of 32 bits: products of that width go through wide registers.
 _SALTS = (mix(np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _NODE = np.uint64(0x9FB21C651E98DF25)
@@ -47,9 +48,10 @@ def runs_to(level: int) -> int:
 
 
 def sketch_bits(least: float) -> int:
-    """Bits of 128 that two sketches must share: six standard deviations below the mean at the threshold."""
+    """Bits of 128 that two sketches must share: SIGMAS standard deviations below the mean at the threshold, which a pair at
+    the threshold misses with a chance of 3 in a million, far below 1 - RECALL."""
     p = (1 + least) / 2
-    return round(128 * p - 6 * math.sqrt(128 * p * (1 - p)))
+    return math.floor(128 * p - SIGMAS * math.sqrt(128 * p * (1 - p)))
 
 
 def _high(x: np.ndarray) -> np.ndarray:
@@ -205,7 +207,8 @@ def pairs_of(sets: DataFrame, read, scratch: Scratch, least: float) -> DataFrame
     while True:
         # buckets are counted by partial sums and met by a join, which splits a hot one; only buckets of two or more
         # stay, a small share of all rows
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        # (a key has one size, so the hashed side of the join is even, and nothing has to be sorted)
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").hint("shuffle_hash")
         sized = scratch.put(rows.join(sizes, "key").join(facts, "sid"), f"buckets{level}")
         found.append(_compare(sized.filter(f"size <= {SMALL}"), least))
         large = sized.filter(f"size > {SMALL}")
