@@ -75,14 +75,15 @@ class Runs:
     def _level(self, rows: int) -> int:
         return max(0, math.ceil(math.log(max(rows, 1) / self.unit, self.fan)))
 
-    def _write(self, rows: DataFrame, level: int) -> dict | None:
+    def _write(self, rows: DataFrame, level: int, n: int | None = None) -> dict | None:
         name = f"run=r{uuid.uuid4().hex[:12]}"
         parts = min(self.slots, int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4)
         rows.withColumn("slot", self.slot()).repartition(parts, "slot").sortWithinPartitions("slot", *self.key).write.partitionBy("slot").parquet(f"{self.path}/{name}")
-        n = self._open([name]).count()
-        if not n:
+        folder, fs = self._fs(f"{self.path}/{name}")
+        if not any(x.isDirectory() for x in fs.listStatus(folder)):
             remove(self.spark, f"{self.path}/{name}")
             return None
+        n = self._open([name]).count() if n is None else n
         return {"name": name, "rows": n, "level": max(level, self._level(n))}
 
     def _open(self, names: list[str]) -> DataFrame:
@@ -90,12 +91,13 @@ class Runs:
             return self.spark.createDataFrame([], f"{self.schema}, run string, slot int")
         return self.spark.read.schema(f"{self.schema}, run string, slot int").option("basePath", self.path).parquet(*[f"{self.path}/{n}" for n in names])
 
-    def append(self, rows: DataFrame, expected: int | None = None) -> DataFrame:
-        """Add a batch and return it as stored. expected: rows of the whole table some day; sizes the slots, once."""
+    def append(self, rows: DataFrame, expected: int | None = None, n: int | None = None) -> DataFrame:
+        """Add a batch and return it as stored. expected: rows of the whole table some day; sizes the slots, once. n: at most
+        so many has the batch, which places its run in a level; counted if not given."""
         if not self.slots:
-            n = expected if expected is not None else 8 * rows.count()
-            self.slots = max(4, min(MOST_SLOTS, math.ceil(n / SLOT_ROWS)))
-        run = self._write(rows.select(*[c.split()[0] for c in self.schema.split(",")]), 0)
+            expected = expected if expected is not None else 8 * (rows.count() if n is None else n)
+            self.slots = max(4, min(MOST_SLOTS, math.ceil(expected / SLOT_ROWS)))
+        run = self._write(rows.select(*[c.split()[0] for c in self.schema.split(",")]), 0, n)
         if run is None:
             return self._open([]).drop("run", "slot")
         self.runs.append(run)
@@ -126,15 +128,16 @@ class Runs:
         """The merged table."""
         return self.merge(self.raw())
 
-    def asked(self, keys: DataFrame, how: str = "left_semi", width: int = 64) -> DataFrame:
-        """Stored rows, not merged, of the keys of a table that is written down, so that counting it is cheap.
+    def asked(self, keys: DataFrame, how: str = "left_semi", width: int = 64, n: int | None = None) -> DataFrame:
+        """Stored rows, not merged, of the keys of a table that is written down, so that counting it is cheap, or that has at
+        most `n` rows.
 
         how: `left_semi`, or `inner` to get the columns of both. Only the slots of the keys are read; keys of at most
         SENT_BYTES (`width` bytes each) are sent to the scan, which then shuffles nothing; more are joined.
         """
         if not self.runs:
             return self.raw().join(keys, self.key, how)
-        n = keys.count()
+        n = keys.count() if n is None else n
         rows = self._open([r["name"] for r in self.runs])
         if n < 4 * self.slots:
             some = [r[0] for r in keys.select(self.slot().alias("s")).distinct().collect()]  # at most `slots` numbers

@@ -118,6 +118,10 @@ class Scratch:
         out._millrace_path = path
         return out
 
+    def all(self, tables: list[DataFrame]) -> DataFrame:
+        """The rows of tables of one schema that `put` returned, as one scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._millrace_path for t in tables])
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             remove(self.spark, t._millrace_path)

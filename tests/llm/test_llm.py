@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and labelled cases, with their edge cases."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -134,6 +135,21 @@ def test_batches_against_history(spark, tmp_path, monkeypatch):
     assert got == want
 
 
+def test_batch_costs_few_jobs(spark, tmp_path):
+    """Of p3_found: a further batch is few jobs, which the driver keeps the plans of, and leaves the last plan as it is."""
+    texts = [" ".join(f"w{i // 2}x{j}" for j in range(20)) for i in range(12)]
+    cost = []
+    for n in (2, 3):
+        rows = [(f"u{i}-{b}", b, f"c{i}-{b}", 1 << i // 2, 900) for b in range(n) for i in range(12)]
+        spark.createDataFrame(rows, "url_hash string, batch_no int, content_hash string, simhash long, size long").write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        spark.createDataFrame([(r[0], json.dumps({"text": texts[k % 12]})) for k, r in enumerate(rows)], "url_hash string, data_json string").write.parquet(f"{tmp_path}/{n}/extracted.parquet")
+        began = spark._jsc.sc().dagScheduler().nextJobId()
+        found = batch_dedup.p3_found(spark, f"{tmp_path}/{n}")
+        cost.append((spark._jsc.sc().dagScheduler().nextJobId() - began, found._jdf.queryExecution().optimizedPlan().toString().count("Relation")))
+        assert {r[0] for r in found.collect()} == {r[0] for r in rows if r[1]}
+    assert cost[1][1] == cost[0][1] and cost[1][0] - cost[0][0] <= 32
+
+
 #: Sites and wordings that are in no list and no labelled page.
 HELD_OUT = """
 https://fyrskeppet.test/a
